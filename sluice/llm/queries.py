@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, urls
+from sluice.llm import bpe, quality, urls
 
 #: The url rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -42,6 +42,48 @@ FROM r
 """
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return quality.apply_rules(docs, carry=["doc_id"]).select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)),
+again AS (SELECT doc_id, win FROM windows GROUP BY doc_id, win HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT w.doc_id, unnest(range(w.i, w.i + 8)) AS p FROM windows w JOIN again a ON a.doc_id = w.doc_id AND a.win = w.win)
+  GROUP BY doc_id),
+dup_lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, d.source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN dup_lines l USING (doc_id)),
+f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         coalesce(n_symbols > 0.1 * n_words OR n_dup_lines > 0.1 * n_words
+           OR (n_words > 0 AND (word_chars < 2.0 * n_words OR word_chars > 12.0 * n_words)), false) AS soft
+  FROM m),
+h AS (SELECT source, count(*) AS n, sum((base_failed OR soft)::INT)::DOUBLE AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS var FROM h),
+k AS (SELECT mean, greatest(1.0, CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 0 END) AS weight FROM p),
+v AS (SELECT source, (bad + mean * weight) / (n + weight) > 0.5 AS rejected FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR (coalesce(rejected, false) AND soft)) AS kept
+FROM f LEFT JOIN v USING (source)
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     ids = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN).drop("text")
@@ -51,8 +93,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
+    return {"op1_url_filters": op1_url_filters, "op3_quality_rules": op3_quality_rules, "op7_byte_bpe": op7_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_quality_rules": OP3_SQL}
