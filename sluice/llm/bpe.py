@@ -14,22 +14,22 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sluice.llm.arrow import with_columns
 from sluice.llm.segments import SegmentCache
 
 #: Widths of the padded matrices, in bytes; longer pre-tokens merge by a heap.
 WIDTHS = (2, 3, 4, 6, 8, 10, 12, 16, 24, 32, 64, 128)
 #: Rows of one matrix.
-ROWS = 1 << 15
+ROWS = 1 << 12
 #: Distinct pre-tokens a worker remembers.
-WORDS_BOUND = 300_000
+WORDS_BOUND = 150_000
 
 _NONE = np.int32(2**31 - 1)
 
@@ -210,24 +210,9 @@ def _share(df: DataFrame, vocabulary: str, pattern: str):
 
 
 
-#: Texts encoded at a time within an Arrow batch.
-STEP = 1024
-
-
-def _map_column(df: DataFrame, source: str, target: str, run) -> DataFrame:
-    """``df`` with the binary column ``target`` made from ``source`` by ``run(list) -> list[bytes]``."""
-    order = [*[c for c in df.columns if c != target], target]
-    schema = T.StructType([*[df.schema[c] for c in order[:-1]], T.StructField(target, T.BinaryType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        do = run()
-        for whole in batches:
-            for i in range(0, whole.num_rows, STEP):
-                batch = whole.slice(i, STEP)
-                made = pa.array(do(batch.column(source).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([made if c == target else batch.column(c) for c in order], order)
-
-    return df.mapInArrow(work, schema)
+def _columns(df: DataFrame, vocabulary: str, pattern: str, source: str, targets: list[str], parts) -> DataFrame:
+    shared = _share(df, vocabulary, pattern)
+    return with_columns(df, [source], {t: T.BinaryType() for t in targets}, lambda: parts(_coder(shared)))
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -235,16 +220,21 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
 
     ``vocabulary`` is a ``.tiktoken`` rank file on the driver; its bytes (a few MB) are broadcast.
     """
-    shared = _share(df, vocabulary, pattern)
-    return _map_column(df, text_col, ids_col, lambda: _coder(shared).encode)
+    return _columns(df, vocabulary, pattern, text_col, [ids_col], lambda coder: lambda texts: [coder.encode(texts)])
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``df`` with ``bytes_col``: the bytes that the ids of ``ids_col`` stand for."""
-    shared = _share(df, vocabulary, pattern)
+    return _columns(df, vocabulary, pattern, ids_col, [bytes_col], lambda coder: lambda ids: [list(map(coder.decode, ids))])
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the workers."""
 
-    def run():
-        one = _coder(shared).decode
-        return lambda many: list(map(one, many))
+    def parts(coder: ByteBPE):
+        def both(texts):
+            ids = coder.encode(texts)
+            return [ids, list(map(coder.decode, ids))]
+        return both
 
-    return _map_column(df, ids_col, bytes_col, run)
+    return _columns(df, vocabulary, pattern, text_col, [ids_col, bytes_col], parts)

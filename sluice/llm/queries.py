@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, quality, urls
+from sluice.llm import bpe, chat, quality, urls
 
 #: The url rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -86,15 +86,36 @@ FROM f LEFT JOIN v USING (source)
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    ids = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, VOCABULARY, public_tokenizers.PATTERN).select(
+    return bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+OP10_SQL = r"""
+WITH placed AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations),
+cells AS (SELECT *, pos || ':' || coalesce('r' || length(role) || role, '-') || coalesce('t' || length(text) || text, '-') AS cell FROM placed),
+rolled AS (SELECT conv_id, pos, string_agg(cell, '') OVER (PARTITION BY conv_id ORDER BY pos) AS h FROM cells),
+ends AS (SELECT conv_id, max(pos) AS pos, max_by(h, pos) AS h FROM rolled GROUP BY conv_id),
+firsts AS (SELECT pos, h, min(conv_id) AS conv_id, count(*) AS n_same FROM ends GROUP BY pos, h),
+longer AS (SELECT DISTINCT r.pos, r.h FROM rolled r JOIN ends e ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.pos > r.pos),
+kept AS (SELECT * FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM longer l WHERE l.pos = f.pos AND l.h = f.h))
+SELECT k.conv_id, k.pos AS n_turns, k.n_same,
+       string_agg('<|' || coalesce(p.role, '') || '|>' || chr(10) || coalesce(p.text, '') || '<|end|>' || chr(10), '' ORDER BY p.pos) AS rendered
+FROM kept k JOIN placed p ON p.conv_id IS NOT DISTINCT FROM k.conv_id
+GROUP BY k.conv_id, k.pos, k.n_same
+"""
+
+
 def queries() -> dict:
-    return {"op1_url_filters": op1_url_filters, "op3_quality_rules": op3_quality_rules, "op7_byte_bpe": op7_byte_bpe}
+    return {"op1_url_filters": op1_url_filters, "op3_quality_rules": op3_quality_rules, "op7_byte_bpe": op7_byte_bpe,
+            "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_quality_rules": OP3_SQL, "op10_chat_formatting": OP10_SQL}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: Cached pieces a worker; at the bound the cache starts anew.
-CACHE_BOUND = 600_000
+CACHE_BOUND = 150_000
 
 
 class SegmentCache:
