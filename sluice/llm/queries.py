@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, chat, quality, urls
+from sluice.llm import bpe, chat, pii, quality, urls
+from sluice.staging import stage
 
 #: The url rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -42,6 +43,15 @@ FROM r
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stage(pii.candidates(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"), "pii")
+    spans = pii.accept(found, pii.fit(found))
+    base = {k: F.filter(f"c_{k}", lambda x: x["base"]) for k in pii.KINDS}
+    return spans.select(
+        "doc_id", *[F.size(base[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed({k: F.col(f"c_{k}") for k in pii.KINDS}).alias("spans"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return quality.apply_rules(docs, carry=["doc_id"]).select("doc_id", *quality.MEASURES, "base_failed", "kept")
@@ -113,7 +123,7 @@ GROUP BY k.conv_id, k.pos, k.n_same
 
 
 def queries() -> dict:
-    return {"op1_url_filters": op1_url_filters, "op3_quality_rules": op3_quality_rules, "op7_byte_bpe": op7_byte_bpe,
+    return {"op1_url_filters": op1_url_filters, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op7_byte_bpe": op7_byte_bpe,
             "op10_chat_formatting": op10_chat_formatting}
 
 
