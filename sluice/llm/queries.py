@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, chat, pii, quality, urls
+from sluice.llm import bpe, chat, neardup, pii, quality, urls
 from sluice.staging import stage
 
 #: The url rules of the contract.
@@ -94,6 +94,10 @@ FROM f LEFT JOIN v USING (source)
 """
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN).select(
@@ -123,7 +127,7 @@ GROUP BY k.conv_id, k.pos, k.n_same
 
 
 def queries() -> dict:
-    return {"op1_url_filters": op1_url_filters, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op7_byte_bpe": op7_byte_bpe,
+    return {"op1_url_filters": op1_url_filters, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_bpe": op7_byte_bpe,
             "op10_chat_formatting": op10_chat_formatting}
 
 
