@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, chat, neardup, pii, quality, urls
+from sluice.llm import bpe, chat, decon, neardup, pii, quality, urls
 from sluice.staging import stage
 
 #: The url rules of the contract.
@@ -105,6 +105,32 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decon.find(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM benchmark),
+s AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g, len(w) - 4 AS size FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
+i AS (SELECT item_id, n, g, count(*) AS c FROM
+       (SELECT item_id, len(w) AS n, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS p FROM b WHERE len(w) >= 5))
+      GROUP BY item_id, n, g),
+hits AS (SELECT s.doc_id, i.item_id, s.p, s.g, i.c, i.n, i.n - 4 AS m, s.size FROM s JOIN i USING (g)),
+pairs AS (SELECT doc_id, item_id, n, m, size, min(p) AS lo, max(p) AS hi FROM hits GROUP BY doc_id, item_id, n, m, size HAVING 4 * count(*) >= 3 * least(m, size)),
+starts AS (SELECT doc_id, item_id, n, m, size, unnest(range(greatest(0, lo - m), greatest(0, least(hi, size - m)) + 1)) AS st FROM pairs),
+common AS (
+  SELECT doc_id, item_id, n, m, size, st, sum(least(k, c))::BIGINT AS n_common
+  FROM (SELECT t.doc_id, t.item_id, t.n, t.m, t.size, t.st, h.g, h.c, count(*) AS k
+        FROM starts t JOIN hits h ON h.doc_id = t.doc_id AND h.item_id = t.item_id AND h.p >= t.st AND h.p < t.st + t.m
+        GROUP BY t.doc_id, t.item_id, t.n, t.m, t.size, t.st, h.g, h.c)
+  GROUP BY doc_id, item_id, n, m, size, st),
+good AS (SELECT *, least(m, size) + m - n_common AS u FROM common WHERE 4 * n_common >= 3 * (least(m, size) + m - n_common)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_common DESC, st DESC) AS k FROM good)
+SELECT doc_id, item_id, st::BIGINT AS start_word, n::BIGINT AS n_words, n_common, n_common::DOUBLE / u::DOUBLE AS similarity FROM ranked WHERE k = 1
+"""
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -128,8 +154,8 @@ GROUP BY k.conv_id, k.pos, k.n_same
 
 def queries() -> dict:
     return {"op1_url_filters": op1_url_filters, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_bpe": op7_byte_bpe,
-            "op10_chat_formatting": op10_chat_formatting}
+            "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_chat_formatting": op10_chat_formatting}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_quality_rules": OP3_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_quality_rules": OP3_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_chat_formatting": OP10_SQL}
