@@ -7,8 +7,9 @@ Jaccard similarity is at least 0.75, and a group is a connected component.
    of ROWS MinHash values and an odd sketch: its MinHash samples folded into a
    256-bit parity bitmap. Equal sets are one class, represented by its least id.
 2. Band buckets with several classes are kept. A pair is a candidate if its sizes
-   allow the similarity and the population count of its sketches' exclusive or is
-   at most FAR, over five standard deviations beyond what 0.75 gives.
+   allow the similarity, the shingles that each side has in common with any other
+   class at all are enough for it, and the population count of its sketches'
+   exclusive or is at most FAR, over five standard deviations beyond what 0.75 gives.
 3. Candidates are verified on the full sets, in three rounds: each class against
    the least candidate class of its buckets; then, with the components so far,
    each class against its closest candidate in every other component that shares
@@ -104,13 +105,14 @@ def _close(a: str, b: str) -> Column:
     """Whether the sizes and sketches of two sides leave 0.75 possible."""
     left, right = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     differ = sum((F.bit_count(left(s).bitwiseXOR(right(s))) for s in _SKETCH[1:]), F.bit_count(left(_SKETCH[0]).bitwiseXOR(right(_SKETCH[0]))))
-    return ((DENOMINATOR * F.least(left("n"), right("n")) >= NUMERATOR * F.greatest(left("n"), right("n"))) & (differ <= FAR))
+    total = NUMERATOR * (left("n") + right("n"))
+    return ((DENOMINATOR * F.least(left("n"), right("n")) >= NUMERATOR * F.greatest(left("n"), right("n")))
+            & ((NUMERATOR + DENOMINATOR) * F.least(left("v"), right("v")) >= total) & (differ <= FAR))
 
 
 @F.pandas_udf(T.BooleanType())
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+    def one(x: np.ndarray, y: np.ndarray) -> bool:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
@@ -119,19 +121,25 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that are linked."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b").where(_linked("x", "y")).select("a", "b")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
+    return left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").where(_linked("x", "y")).select("a", "b")
 
 
-def _packed(texts: list[str | None]) -> list[list]:
-    return [[s.tobytes() for s in shingle_sets(texts, WORDS)]]
+def _tokens(texts: list[str | None]) -> list[list]:
+    return [[s.view(np.int64) for s in shingle_sets(texts, WORDS)]]
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, max_broadcast: int) -> DataFrame:
-    """(id, packed): the sorted shingle hashes of the classes in ``ids`` (staged)."""
+    """(id, tokens): the shingle hashes of the classes in ``ids``."""
     few = ids.limit(max_broadcast + 1).count() <= max_broadcast
     chosen = docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return with_columns(chosen, ["text"], {"packed": T.BinaryType()}, lambda: _packed).drop("text").dropDuplicates(["id"])
+    return with_columns(chosen, ["text"], {"tokens": T.ArrayType(T.LongType())}, lambda: _tokens).drop("text").dropDuplicates(["id"])
+
+
+def _owned(sets: DataFrame) -> DataFrame:
+    """(id, owned): how many shingles of a class no other class in ``sets`` has; none are left out."""
+    by_token = sets.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    return by_token.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("owned"))
 
 
 def _classes(docs: DataFrame, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
@@ -147,10 +155,12 @@ def _classes(docs: DataFrame, max_broadcast: int) -> tuple[DataFrame, DataFrame]
         return signed, ids.select("id", F.col("id").alias("component"))
     known = signed.select("id", "n", *[F.get("sketch", i).alias(s) for i, s in enumerate(_SKETCH)])
     few = ids.limit(max_broadcast + 1).count() <= max_broadcast
-    members = stage(found.join(known.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "id"), "members")
     sets = stage(_sets_of(docs, ids, max_broadcast), "sets")
+    described = (known.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+                 .join(_owned(sets), "id", "left").withColumn("v", F.col("n") - F.coalesce("owned", F.lit(0))).drop("owned"))
+    members = stage(found.join(described, "id"), "members")
 
-    heads = members.where("id = leader").select("band", F.col("id").alias("head"), "n", *_SKETCH)
+    heads = members.where("id = leader").select("band", F.col("id").alias("head"), "n", "v", *_SKETCH)
     first = (members.alias("m").join(heads.alias("h"), "band").where(F.col("m.id") != F.col("h.head")).where(_close("m", "h"))
              .groupBy(F.col("m.id").alias("b")).agg(F.min("h.head").alias("a")).select("a", "b"))
     links = stage(verify(first, sets), "links")
@@ -185,7 +195,7 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bro
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed, label = _classes(docs, max_broadcast)
     reps = signed.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"))
-    named = reps.join(label, reps["rep"] == label["id"], "left").select("key", F.coalesce("component", "rep").alias("component"))
+    named = stage(reps.join(label, reps["rep"] == label["id"], "left").select("key", F.coalesce("component", "rep").alias("component")), "named")
     out = signed.select("id", "n", "key").join(named, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce(F.col("component"), F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
