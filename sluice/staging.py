@@ -23,16 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, deleted with the staged tables."""
+    path = f"{shared_dir(spark)}/sluice/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def stage(df: DataFrame, label: str, sweep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a reader of it.
 
     The table is written once by Spark's own committer, so a lost executor only
-    repeats its tasks, and every later reader starts from the files.
+    repeats its tasks, and every later reader starts from the files. ``sweep`` is for
+    large tables: it compresses them harder and lets the driver drop the shuffle files
+    behind them at once rather than at its next garbage collection.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluice/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
+    path = new_path(spark, label)
+    df.write.option("compression", "zstd" if sweep else "snappy").parquet(path)
+    if sweep:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
