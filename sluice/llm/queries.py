@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, chat, decon, neardup, pii, quality, urls
-from sluice.staging import stage
+from sluice.llm import bpe, chat, decon, neardup, pii, quality, rans, tokens, urls
+from sluice.staging import new_path, stage
 
 #: The url rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
+TOKENIZER, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -105,6 +106,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rans.in_id_order(_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    ids = tokens.encode(docs, TOKENIZER, "value", "ids", END_ID).drop("value")
+    path = new_path(spark, "files")
+    rans.write(rans.placed(ids), path)
+    return rans.read(spark, path).select(
+        F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.find(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -154,6 +164,7 @@ GROUP BY k.conv_id, k.pos, k.n_same
 
 def queries() -> dict:
     return {"op1_url_filters": op1_url_filters, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_bpe": op7_byte_bpe,
+            "op8_token_files": op8_token_files,
             "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_chat_formatting": op10_chat_formatting}
 
 
