@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, chat, decon, neardup, pii, quality, rans, tokens, urls
+from sluice.llm import bpe, chat, decon, neardup, pii, quality, rans, suffix, tokens, urls
 from sluice.staging import new_path, stage
 
 #: The url rules of the contract.
@@ -95,6 +95,12 @@ FROM f LEFT JOIN v USING (source)
 """
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -163,7 +169,8 @@ GROUP BY k.conv_id, k.pos, k.n_same
 
 
 def queries() -> dict:
-    return {"op1_url_filters": op1_url_filters, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_bpe": op7_byte_bpe,
+    return {"op1_url_filters": op1_url_filters, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op4_suffix_array_dedup": op4_suffix_array_dedup,
+            "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_bpe": op7_byte_bpe,
             "op8_token_files": op8_token_files,
             "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_chat_formatting": op10_chat_formatting}
 
