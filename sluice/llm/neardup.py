@@ -8,8 +8,10 @@ Jaccard similarity is at least 0.75, and a group is a connected component.
    256-bit parity bitmap. Equal sets are one class, represented by its least id.
 2. Band buckets with several classes are kept. A pair is a candidate if its sizes
    allow the similarity, the shingles that each side has in common with any other
-   class at all are enough for it, and the population count of its sketches'
-   exclusive or is at most FAR, over five standard deviations beyond what 0.75 gives.
+   class at all are enough for it, the population count of its sketches' exclusive
+   or is at most FAR, over five standard deviations beyond what 0.75 gives, and that
+   of two further parity bitmaps, over the full sets, is at most a seventh of both
+   sizes: it never exceeds the symmetric difference, so this rule loses nothing.
 3. Candidates are verified on the full sets, in three rounds: each class against
    the least candidate class of its buckets; then, with the components so far,
    each class against its closest candidate in every other component that shares
@@ -43,6 +45,7 @@ WORDS = 5
 #: Bits that two sketches may differ in: samples 2 * 96 * (1 - 0.75) = 48 differ on average, which sets 40 +- 7 bits.
 FAR = 80
 NUMERATOR, DENOMINATOR = 3, 4
+PARITY_WORDS = 16
 #: Up to so many candidate classes are broadcast to fetch their texts; more are joined.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -106,8 +109,12 @@ def _close(a: str, b: str) -> Column:
     left, right = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     differ = sum((F.bit_count(left(s).bitwiseXOR(right(s))) for s in _SKETCH[1:]), F.bit_count(left(_SKETCH[0]).bitwiseXOR(right(_SKETCH[0]))))
     total = NUMERATOR * (left("n") + right("n"))
+    parity = sum((F.bit_count(F.get(left("parity"), i).bitwiseXOR(F.get(right("parity"), i))) for i in range(1, PARITY_WORDS)),
+                 F.bit_count(F.get(left("parity"), 0).bitwiseXOR(F.get(right("parity"), 0))))
     return ((DENOMINATOR * F.least(left("n"), right("n")) >= NUMERATOR * F.greatest(left("n"), right("n")))
-            & ((NUMERATOR + DENOMINATOR) * F.least(left("v"), right("v")) >= total) & (differ <= FAR))
+            & ((NUMERATOR + DENOMINATOR) * F.least(left("v"), right("v")) >= total) & (differ <= FAR)
+            # a link leaves a symmetric difference of (1 - t) / (1 + t) of both sizes at most
+            & ((NUMERATOR + DENOMINATOR) * parity <= (DENOMINATOR - NUMERATOR) * (left("n") + right("n"))))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -125,15 +132,22 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").where(_linked("x", "y")).select("a", "b")
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Parities of a whole set over 64 * PARITY_WORDS cells."""
+    cells = np.bincount((mix(tokens) % U(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _tokens(texts: list[str | None]) -> list[list]:
-    return [[s.view(np.int64) for s in shingle_sets(texts, WORDS)]]
+    sets = shingle_sets(texts, WORDS)
+    return [[s.view(np.int64) for s in sets], [parities(s) for s in sets]]
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, max_broadcast: int) -> DataFrame:
-    """(id, tokens): the shingle hashes of the classes in ``ids``."""
+    """(id, tokens, parity): the shingle hashes of the classes in ``ids``, and their parities."""
     few = ids.limit(max_broadcast + 1).count() <= max_broadcast
     chosen = docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return with_columns(chosen, ["text"], {"tokens": T.ArrayType(T.LongType())}, lambda: _tokens).drop("text").dropDuplicates(["id"])
+    return with_columns(chosen, ["text"], {c: T.ArrayType(T.LongType()) for c in ("tokens", "parity")}, lambda: _tokens).drop("text").dropDuplicates(["id"])
 
 
 def _owned(sets: DataFrame) -> DataFrame:
@@ -157,10 +171,11 @@ def _classes(docs: DataFrame, max_broadcast: int) -> tuple[DataFrame, DataFrame]
     few = ids.limit(max_broadcast + 1).count() <= max_broadcast
     sets = stage(_sets_of(docs, ids, max_broadcast), "sets")
     described = (known.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-                 .join(_owned(sets), "id", "left").withColumn("v", F.col("n") - F.coalesce("owned", F.lit(0))).drop("owned"))
+                 .join(_owned(sets), "id", "left").withColumn("v", F.col("n") - F.coalesce("owned", F.lit(0))).drop("owned")
+                 .join(sets.select("id", "parity"), "id"))
     members = stage(found.join(described, "id"), "members")
 
-    heads = members.where("id = leader").select("band", F.col("id").alias("head"), "n", "v", *_SKETCH)
+    heads = members.where("id = leader").select("band", F.col("id").alias("head"), "n", "v", "parity", *_SKETCH)
     first = (members.alias("m").join(heads.alias("h"), "band").where(F.col("m.id") != F.col("h.head")).where(_close("m", "h"))
              .groupBy(F.col("m.id").alias("b")).agg(F.min("h.head").alias("a")).select("a", "b"))
     links = stage(verify(first, sets), "links")
