@@ -42,10 +42,10 @@ from sluice.llm.anchors import LENGTH, anchors
 from sluice.llm.arrow import bound_batches
 from sluice.staging import stage
 
-#: Bytes of text of a batch, and of the text whose anchors a shard holds.
-BATCH_BYTES = 12 << 20
+#: Bytes of text of a batch, and times that whose anchors a shard holds.
+BATCH_BYTES, SHARD = 6 << 20, 2
 #: Bytes hashed together, and anchors gathered before they are sent.
-CHUNK_BYTES, GATHER = 1 << 20, 1 << 20
+CHUNK_BYTES, GATHER = 1 << 19, 1 << 19
 EARLIER = np.iinfo(np.int64).min
 _KEY_BITS = np.uint64(44)
 
@@ -366,7 +366,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = every.where("id IS NOT NULL")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
-    shards = min(batches, 1 << 20)
+    shards = min(-(-batches // SHARD), 1 << 20)
     bounds: list[int] = []
     if batches > 1:
         cuts = [i / batches for i in range(1, batches)]
