@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, chat, decon, neardup, pii, quality, rans, suffix, tokens, urls
+from sluice.llm import bpe, chat, decon, neardup, pii, quality, rans, suffix, tokens, unigram, urls
 from sluice.staging import new_path, stage
 
 #: The url rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 TOKENIZER, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -101,6 +102,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), unigram.vocabulary_of(PIECES)).drop("text")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -170,7 +175,7 @@ GROUP BY k.conv_id, k.pos, k.n_same
 
 def queries() -> dict:
     return {"op1_url_filters": op1_url_filters, "op2_pii": op2_pii, "op3_quality_rules": op3_quality_rules, "op4_suffix_array_dedup": op4_suffix_array_dedup,
-            "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_bpe": op7_byte_bpe,
+            "op5_token_counts": op5_token_counts, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_byte_bpe": op7_byte_bpe,
             "op8_token_files": op8_token_files,
             "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_chat_formatting": op10_chat_formatting}
 
