@@ -119,9 +119,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rans.in_id_order(_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
-    ids = tokens.encode(docs, TOKENIZER, "value", "ids", END_ID).drop("value")
+    ids = tokens.encode(docs, TOKENIZER, "value", "ids", END_ID, width=2, counts_col="counts").drop("value")
     path = new_path(spark, "files")
-    rans.write(rans.placed(ids), path)
+    rans.write(rans.placed(ids), path, width=2)
     return rans.read(spark, path).select(
         F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

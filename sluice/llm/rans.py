@@ -39,6 +39,8 @@ LANES = 1024
 SCALE = 20
 BLOCK_IDS = 1 << 18
 CHECK_STEPS = 128
+#: Up to so many blocks' starting points are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_BLOCKS = 500_000
 MAGIC = b"SRA1"
 _HEAD = struct.Struct("<4s8I")
 _LOW = np.uint64(1 << 31)
@@ -177,39 +179,40 @@ def checkpoints(block: bytes) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def _counts(ordered: DataFrame) -> DataFrame:
+def _counts(ordered: DataFrame, width: int) -> DataFrame:
+    """(symbol, count) of all ids: from the column counts if there is one, else from the ids."""
+    given = "counts" in ordered.columns
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
-        dense = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                flat = np.frombuffer(ids or b"", "<u4")
-                if len(flat) and int(flat.max()) < 1 << 22:
-                    c = np.bincount(flat, minlength=len(dense))
-                    c[:len(dense)] += dense
-                    dense = c
+            for raw in batch.column(0).to_pylist():
+                if not raw:
+                    continue
+                if given:
+                    symbols, many = np.frombuffer(raw, "<u4").reshape(-1, 2).T
                 else:
-                    for s, k in zip(*np.unique(flat, return_counts=True)):
-                        total[int(s)] = total.get(int(s), 0) + int(k)
-        for s in np.flatnonzero(dense):
-            total[int(s)] = total.get(int(s), 0) + int(dense[s])
+                    symbols, many = np.unique(np.frombuffer(raw, f"<u{width}"), return_counts=True)
+                for s, k in zip(symbols.tolist(), many.tolist()):
+                    total[s] = total.get(s, 0) + k
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["symbol", "count"])
 
-    return ordered.select("ids").mapInArrow(work, "symbol long, count long").groupBy("symbol").agg(F.sum("count").alias("count"))
+    held = ordered.where("counts IS NOT NULL").select("counts") if given else ordered.select("ids")
+    return held.mapInArrow(work, "symbol long, count long").groupBy("symbol").agg(F.sum("count").alias("count"))
 
 
 def _coder(table: list[tuple[int, int]]) -> Coder:
     return Coder(np.array([s for s, _ in table], np.uint32), np.array([f for _, f in table], np.int64))
 
 
-def write(ordered: DataFrame, path: str) -> None:
-    """Write ``ordered`` (place, id, ids): blocks of rows with consecutive places, in their order.
+def write(ordered: DataFrame, path: str, width: int = 4) -> None:
+    """Write ``ordered`` (place, id, ids of ``width`` bytes): blocks of rows with consecutive places, in their order.
 
     ``place`` is a bigint that rises by one from row to row within each of any number of runs.
     """
     spark = ordered.sparkSession
     bound_batches(spark)
-    counted = sorted((r["symbol"], r["count"]) for r in _counts(ordered).collect())  # at most one row a symbol of the vocabulary
+    counted = sorted((r["symbol"], r["count"]) for r in _counts(ordered, width).collect())  # at most one row a symbol of the vocabulary
     freq = quantise(np.array([c for _, c in counted], np.int64)) if counted else np.zeros(0, np.int64)
     table = [(s, int(f)) for (s, _), f in zip(counted, freq)]
     spark.createDataFrame(table, "symbol long, freq long").coalesce(1).write.parquet(f"{path}/table")
@@ -226,7 +229,7 @@ def write(ordered: DataFrame, path: str) -> None:
 
         for batch in batches:
             for place, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("place", "id", "ids"))):
-                raw = raw or b""
+                raw = np.frombuffer(raw or b"", f"<u{width}").astype("<u4").tobytes()
                 if ids and (place != first + len(ids) or held + len(raw) // 4 > BLOCK_IDS):
                     yield close()
                     doc_ids, ids, held = [], [], 0
@@ -263,7 +266,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 begins = start + np.concatenate(([0], np.cumsum([len(b) // 4 for b in ids])))[:-1]
                 yield pa.RecordBatch.from_pydict({"id": pa.array(doc_ids, pa.int64()), "start": pa.array(begins, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
-    return blocks.select("first", "payload").join(starts, "first").select("start", "payload").mapInArrow(work, "id long, start long, ids binary")
+    few = blocks.limit(MAX_BROADCAST_BLOCKS + 1).count() <= MAX_BROADCAST_BLOCKS
+    return blocks.select("first", "payload").join(F.broadcast(starts) if few else starts, "first").select("start", "payload").mapInArrow(work, "id long, start long, ids binary")
 
 
 def in_id_order(df: DataFrame, id_col: str, value_col: str) -> DataFrame:

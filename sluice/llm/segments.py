@@ -15,10 +15,15 @@ CACHE_BOUND = 150_000
 
 
 class SegmentCache:
-    """Bytes for texts, encoded piece by piece. ``encode_pieces`` maps whole strings to bytes."""
+    """Bytes for texts, encoded piece by piece. ``encode_pieces`` maps whole strings to bytes.
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], bound: int = CACHE_BOUND):
+    A piece of letters and one of ``marks`` after them is made of the letters' bytes and the
+    mark's, as the pattern breaks there too.
+    """
+
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], bound: int = CACHE_BOUND, marks: str = ""):
         self._encode, self._bound = encode_pieces, bound
+        self._marks = dict(zip(marks, encode_pieces(list(marks)))) if marks else {}
         self._first: dict[str, bytes | None] = {}
         self._rest: dict[str, bytes | None] = {}  # by the piece without its leading space
 
@@ -29,6 +34,15 @@ class SegmentCache:
     def _learn(self, known: dict, pieces: set[str], lead: str) -> None:
         new = list(pieces.difference(known))
         plain = [p for p in new if not self._risky(p)]
+        if self._marks and lead:
+            marked = [p for p in plain if p[-1] in self._marks and p[:-1].isalpha()]
+            if marked:
+                bare = set(plain).difference(marked)
+                bare.update(p[:-1] for p in marked if p[:-1] not in known)
+                plain = list(bare)
+                known.update(zip(plain, self._encode([lead + p for p in plain])))
+                known.update((p, known[p[:-1]] + self._marks[p[-1]]) for p in marked)
+                plain = []
         known.update(zip(plain, self._encode([lead + p for p in plain] if lead else plain)))
         known.update((p, None) for p in new if self._risky(p))
 

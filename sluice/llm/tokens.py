@@ -14,11 +14,14 @@ from pyspark.sql import types as T
 from sluice.llm.arrow import with_columns
 from sluice.llm.segments import SegmentCache
 
+#: Pieces encoded as one text, and pieces remembered by a worker.
+JOINED, CACHE_BOUND = 2048, 800_000
+
 _known: dict[int, SegmentCache] = {}
 
 
-def _cache(definition: str) -> SegmentCache:
-    key = hash(definition)
+def _cache(definition: str, kind: str = "<u4") -> SegmentCache:
+    key = hash((definition, kind))
     if key not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -26,30 +29,61 @@ def _cache(definition: str) -> SegmentCache:
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.encode_special_tokens = True
 
+        width = np.dtype(kind).itemsize
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            sizes[i] = len(token)  # a byte-level token has a character for each byte
+
         def encode(pieces: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for i in range(0, len(pieces), 4096):
-                made = tokenizer.encode_batch_fast(pieces[i:i + 4096], add_special_tokens=False)
-                out += [np.array(m.ids, "<u4").tobytes() for m in made]
+            # pieces that start at a break of their own are encoded as one text and told apart by their sizes
+            joined = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not (p[1].isspace() or p[-1].isspace())]
+            alone = [k for k in range(len(pieces))] if len(joined) < 2 else sorted(set(range(len(pieces))).difference(joined))
+            out: list[bytes] = [b""] * len(pieces)
+            for i in range(0, len(alone), JOINED):
+                some = alone[i:i + JOINED]
+                for k, m in zip(some, tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
+                    out[k] = np.array(m.ids, kind).tobytes()
+            if len(joined) >= 2:
+                for i in range(0, len(joined), JOINED):
+                    some = joined[i:i + JOINED]
+                    ids = np.array(tokenizer.encode_batch_fast(["".join([pieces[k] for k in some])], add_special_tokens=False)[0].ids, kind)
+                    ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(pieces[k].encode()) for k in some])) + 1
+                    raw = ids.tobytes()
+                    for k, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
+                        out[k] = raw[width * a:width * b]
             return out
 
         _known.clear()
-        _known[key] = SegmentCache(encode)
+        _known[key] = SegmentCache(encode, CACHE_BOUND, marks=".,")
     return _known[key]
 
 
-def encode(df: DataFrame, tokenizer_file: str, text_col: str = "text", ids_col: str = "ids", end_id: int | None = None) -> DataFrame:
-    """``df`` with ``ids_col``: little-endian unsigned 32-bit ids of the text, ``end_id`` appended if given.
+def encode(df: DataFrame, tokenizer_file: str, text_col: str = "text", ids_col: str = "ids", end_id: int | None = None,
+           width: int = 4, counts_col: str | None = None) -> DataFrame:
+    """``df`` with ``ids_col``: little-endian unsigned ids of the text (of ``width`` bytes, 2 or 4), ``end_id`` appended if given.
 
+    With ``counts_col`` some rows hold in it the counts of the ids of several rows, as
+    little-endian unsigned 32-bit pairs of id and count; together they count all ids.
     The tokenizer must be byte-level with the public split pattern and no normaliser,
     for which the ids of a text are those of its pieces.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
+    end, kind = b"" if end_id is None else end_id.to_bytes(width, "little"), f"<u{width}"
+    targets = {ids_col: T.BinaryType()} | ({counts_col: T.BinaryType()} if counts_col else {})
 
     def make():
-        cache = _cache(shared.value)
-        return lambda texts: [[ids + end for ids in cache.encode(texts)]]
+        cache = _cache(shared.value, kind)
+
+        def run(texts):
+            ids = [i + end for i in cache.encode(texts)]
+            if not counts_col:
+                return [ids]
+            many = np.bincount(np.frombuffer(b"".join(ids), kind)).astype("<u4")
+            used = np.flatnonzero(many).astype("<u4")
+            return [ids, [np.stack((used, many[used]), 1).tobytes(), *[None] * (len(ids) - 1)]]
+
+        return run
 
-    return with_columns(df, [text_col], {ids_col: T.BinaryType()}, make)
+    return with_columns(df, [text_col], targets, make)
