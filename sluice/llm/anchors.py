@@ -36,6 +36,7 @@ def anchors(buffer: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(document, first window, last window, anchor, hash) of the anchors of documents that stand one after another.
 
     Document i is ``buffer[begins[i]:begins[i + 1]]``; no window crosses documents.
+    Least hashes are small, so they are mixed once more to spread evenly.
     """
     found = []
     for start in range(0, max(0, len(buffer) - LENGTH + 1), TILE):
@@ -49,7 +50,7 @@ def anchors(buffer: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
             continue
         new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (windows[1:] != windows[:-1] + 1))))
         last = np.concatenate((new[1:], [len(windows)])) - 1
-        found.append((doc[new], windows[new], windows[last], at[new].astype(np.int64) + start, h[at[new]]))
+        found.append((doc[new], windows[new], windows[last], at[new].astype(np.int64) + start, mix(h[at[new]])))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, U)
