@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sluice.functions.text import column_of, entropy, line_of, spans, unescape
 from sluice.operators.rules import CATALOGUE, FACTORS, Rule
 from sluice.schema import HIT_KEY
+from sluice.staging import stage
 
 #: Rules of one projection; more are scanned in several projections and united.
 CHUNK = 40
@@ -156,5 +157,9 @@ def keyed_urls(assets: DataFrame) -> DataFrame:
 
 
 def live(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, factors: dict[str, tuple[str, ...]] = FACTORS) -> DataFrame:
-    """The live composition: scan, cap, factors, containment, certification drop. [D2]"""
-    return drop_series(drop_contained(complete_factors(cap(scan(assets, rules)), factors)))
+    """The live composition: scan, cap, factors, containment, certification drop. [D2]
+
+    The hits are written once to the shared folder, so that the joins over them do not
+    scan the texts again.
+    """
+    return drop_series(drop_contained(complete_factors(cap(stage(scan(assets, rules), "hits")), factors)))
