@@ -1 +1 @@
-
+"""Scanning as a stream."""
