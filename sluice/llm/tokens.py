@@ -15,7 +15,7 @@ from sluice.llm.arrow import with_columns
 from sluice.llm.segments import SegmentCache
 
 #: Pieces encoded as one text, and pieces remembered by a worker.
-JOINED, CACHE_BOUND = 2048, 800_000
+JOINED, CACHE_BOUND = 2048, 350_000
 
 _known: dict[int, SegmentCache] = {}
 
