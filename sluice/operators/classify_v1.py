@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions.text import before, contains_any, entropy, snake_case
 from sluice.operators.cascade import CRITICAL, NOISE, PENDING, POTENTIAL, Decision, decide
-from sluice.operators.vector import hash_embed, embed, nearest
+from sluice.operators.vector import embed, hash_embed, nearest
+from sluice.staging import stage
 
 # Fixed values that results depend on: rule names, variable names, value formats.
 POTENTIAL_RULES = ["Algolia API", "algolia-api-key", "Mapbox API Key", "mapbox-api-token", "LocationIQ API Key", "Contentful Delivery API Token",
@@ -151,7 +152,7 @@ def classify(hits: DataFrame, now: int = 0, strict: bool = False) -> DataFrame:
 
 def label(hits: DataFrame, kb: DataFrame, now: int = 0, embedder=hash_embed, threshold: float = 0.8) -> DataFrame:
     """Classified hits without noise; pending ones by the nearest entry of the knowledge base. [R13-R17]"""
-    done = classify(hits, now)
+    done = stage(classify(hits, now), "labelled")
     pending = done.where(F.col("risk_label") == PENDING).withColumn("_text", F.concat_ws(" ", "var_name", F.substr("value", F.lit(1), F.lit(50))))
     found = nearest(embed(pending, "_text", "_vector", embedder), kb, "_vector")
     level = F.lower(F.coalesce("kb_risk", F.lit("")))

@@ -432,6 +432,12 @@ def classify(hits: DataFrame, now: int = 0, keep_prepared: bool = False) -> Data
     return out if keep_prepared else out.select(*hits.columns, "risk", "reason_code", "variable")
 
 
+def classify_tokens(hits: DataFrame, now: int = 0) -> DataFrame:
+    """Web tokens by their content alone: ``hits`` with risk and reason_code. [V26]"""
+    ready = _staged(hits).withColumn("_d", decide(jwt_decisions(now)))
+    return ready.select(*hits.columns, F.col("_d.risk").alias("risk"), F.col("_d.code").alias("reason_code"))
+
+
 def findings(classified: DataFrame, include_noise: bool = False) -> DataFrame:
     """The public shape: risk by its long name, without unmatched rows and, unless asked for, noise. [V35]"""
     named = F.when(F.col("risk") == CRITICAL, "Private-by-design secret").when(F.col("risk") == POTENTIAL, "Public-by-design secret").when(F.col("risk") == NOISE, "Non-secret noise")

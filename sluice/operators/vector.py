@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from sluice.functions.text import contains_any
 from sluice.operators import classify_v2 as v2
 from sluice.operators.cascade import CRITICAL, NOISE, PENDING, POTENTIAL, Decision, decide
+from sluice.staging import stage
 
 DIMENSIONS = 256
 THRESHOLD, CRITICAL_THRESHOLD = 0.8, 0.85
@@ -193,8 +194,12 @@ def post_process() -> Column:
 
 
 def classify_with_kb(hits: DataFrame, kb: DataFrame, now: int = 0, embedder: Callable[[pd.Series], pd.Series] = hash_embed) -> DataFrame:
-    """The whole live classifier: cascade, then pending rows by their nearest entry. [V34]"""
-    done = v2.classify(hits, now, keep_prepared=True)
+    """The whole live classifier: cascade, then pending rows by their nearest entry. [V34]
+
+    The cascade's result is written once: its decisions are large expressions that a
+    filter on the risk would otherwise evaluate again.
+    """
+    done = stage(v2.classify(hits, now, keep_prepared=True).drop("_refined", "_main"), "classified")
     settled = done.where(F.col("risk") != PENDING).withColumns({"kb_id": F.lit(None).cast("string"), "score": F.lit(-1.0)})
     pending = embedding_text(done.where(F.col("risk") == PENDING))
     found = nearest(embed(pending, "embedding_text", "vector", embedder), kb).withColumn("_post", post_process())
