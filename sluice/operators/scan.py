@@ -39,7 +39,9 @@ def _value(rule: Rule, match: Column) -> Column:
     return F.when(F.length(taken) > 0, taken)
 
 
-def _scan_chunk(assets: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+def scan_chunk(assets: DataFrame, rules: list[tuple[int, Rule]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of some (number, rule) pairs, with further columns of the assets; no shuffle, so it also runs on a stream."""
+
     def hits(number: int, rule: Rule) -> Column:
         return F.when(F.rlike("text", F.lit(rule.java)), F.transform(spans(F.col("text"), rule.java), lambda s: F.struct(
             F.lit(number).alias("rule_ord"), F.lit(rule.rule_name).alias("rule_name"), F.lit(rule.series).alias("series"),
@@ -48,7 +50,7 @@ def _scan_chunk(assets: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
             s["start"].alias("index_start"), s["end"].alias("index_end"))))
 
     found = assets.withColumn("__hits", F.flatten(F.array_compact(F.array(*[hits(k, r) for k, r in rules]))))
-    each = found.select("file", "text", F.explode("__hits").alias("h")).select("file", "text", "h.*").where(F.col("value").isNotNull())
+    each = found.select("file", "text", *carry, F.explode("__hits").alias("h")).select("file", "text", *carry, "h.*").where(F.col("value").isNotNull())
     placed = each.withColumns({
         "entropy": entropy(F.col("value")),
         "line_start": line_of(F.col("text"), F.col("index_start")), "line_end": line_of(F.col("text"), F.col("index_end")),
@@ -67,7 +69,7 @@ def scan(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bool =
     if unescaped:
         assets = unescape(assets)
     listed = list(enumerate(rules))
-    parts = [_scan_chunk(assets, listed[i:i + CHUNK]) for i in range(0, len(listed), CHUNK)]
+    parts = [scan_chunk(assets, listed[i:i + CHUNK]) for i in range(0, len(listed), CHUNK)]
     united = reduce(DataFrame.unionByName, parts)
     return united.withColumn("ord", F.col("rule_ord").cast("long") * F.lit(1 << 40) + F.col("index_start"))
 

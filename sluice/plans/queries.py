@@ -113,11 +113,17 @@ def resume_scan(spark, d):
 
 
 def live_findings(spark, d):
-    """The flagship: scan, reduce, classify, public shape."""
+    """The live findings in their public shape."""
     hits = scan.live(readers.documents(spark, d))
     return classify_v2.findings(stage(classify_v2.classify(hits, NOW), "classified"), include_noise=True).withColumn("line", F.col("line").cast("bigint"))
 
 
+def live_classified(spark, d):
+    """The flagship: scan, reduce and classify, every hit with its risk."""
+    made = classify_v2.classify(scan.live(readers.documents(spark, d)), NOW)
+    return made.select("file", "rule_name", "value", F.col("line_start").cast("bigint").alias("line"), "risk", "reason_code", "variable")
+
+
 def findings_summary(spark, d):
     return classify_v2.summary(classify_v2.classify(scan.drop_contained(_hits(spark, d)), NOW))
 
@@ -339,7 +345,7 @@ def event_windows(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     rule_scan, span_positions, entropy_gate, hit_dedup, span_containment, multi_factor, hit_cap, prefix_census, chunked_entropy, sequence_patterns, version_strings,
-    placeholder_filter, dictionary_words, similar_merge, password_filter, unescape, rich_scan, funnel, resume_scan, live_findings, findings_summary, classified_v1, labelled_v1,
+    placeholder_filter, dictionary_words, similar_merge, password_filter, unescape, rich_scan, funnel, resume_scan, live_classified, live_findings, findings_summary, classified_v1, labelled_v1,
     classified_v2, policy_join, uri_triage, jwt_claims, kb_nearest, kb_threshold, kb_classified, embed_context, url_normalize, url_identity, url_extension, html_links,
     link_edges, crawl_frontier, probe_plan, soft404, crawl_stats, payload_selection, ssr_findings, page_references, json_urls, keyed_urls, string_veto, js_bindings,
     context_signals, value_class, file_types, rule_pivot, topk_rules_per_group, framework_rules, rule_rollup, leak_context, domain_top, key_sides,

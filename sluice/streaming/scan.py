@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.rules import CATALOGUE
-from sluice.operators.scan import _scan_chunk
+from sluice.operators.scan import scan_chunk
 from sluice.schema import HIT_KEY
 
 
@@ -17,12 +17,8 @@ def stream_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_hits(assets: DataFrame, delay: str = "1 hour", rules=CATALOGUE) -> DataFrame:
     """Hits of a stream of assets, each key once within ``delay`` of its first sight. [K1, K4, D22]"""
-    marked = assets.withWatermark("seen", delay)
-    keyed = marked.select(F.to_json(F.struct("file", "seen")).alias("file"), "text")
-    hits = _scan_chunk(keyed, list(enumerate(rules)))
-    both = F.from_json("file", "file string, seen timestamp")
-    timed = hits.withColumn("__b", both).withColumn("file", F.col("__b.file")).withColumn("seen", F.col("__b.seen")).drop("__b")
-    return timed.withWatermark("seen", delay).dropDuplicatesWithinWatermark(list(HIT_KEY))
+    hits = scan_chunk(assets.withWatermark("seen", delay), list(enumerate(rules)), ("seen",))
+    return hits.dropDuplicatesWithinWatermark(list(HIT_KEY))
 
 
 def run_available(hits: DataFrame, out: str, checkpoint: str) -> None:
