@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from sluice.llm.arrow import bound_batches
 from sluice.staging import stage
 
-LANES = 1024
+LANES = 2048
 SCALE = 20
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 CHECK_STEPS = 128
 #: Up to so many blocks' starting points are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_BLOCKS = 500_000

@@ -8,48 +8,71 @@ Texts in which a space touches other white space are encoded as one piece.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
-#: Cached pieces a worker; at the bound the cache starts anew.
-CACHE_BOUND = 150_000
+#: Cached pieces of each of a worker's two generations.
+CACHE_BOUND = 100_000
+
+_WORD = re.compile(r"[^\W_]+")
 
 
 class SegmentCache:
     """Bytes for texts, encoded piece by piece. ``encode_pieces`` maps whole strings to bytes.
 
-    A piece of letters and one of ``marks`` after them is made of the letters' bytes and the
-    mark's, as the pattern breaks there too.
+    The cache has two generations: when the younger is full the older goes, and pieces
+    still in use come over. With ``parts``, a piece of letters and digits followed by
+    another mark than an apostrophe is made of both parts' bytes, as the pattern breaks
+    between them too.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], bound: int = CACHE_BOUND, marks: str = ""):
-        self._encode, self._bound = encode_pieces, bound
-        self._marks = dict(zip(marks, encode_pieces(list(marks)))) if marks else {}
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], bound: int = CACHE_BOUND, parts: bool = False):
+        self._encode, self._bound, self._parts = encode_pieces, bound, parts
         self._first: dict[str, bytes | None] = {}
         self._rest: dict[str, bytes | None] = {}  # by the piece without its leading space
+        self._old: dict[str, bytes | None] = {}
+        self._ends: dict[str, bytes] = {}
 
-    @staticmethod
-    def _risky(piece: str) -> bool:
-        return not piece or piece[0].isspace() or piece[-1].isspace()
+    def _split(self, pieces: list[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
+        """Pieces to encode as they are, and (piece, word, end) of those that have parts."""
+        whole, parted = [], []
+        for p in pieces:
+            if not p.isalnum():
+                m = _WORD.match(p)
+                if m and p[m.end()] not in "'’" and not p[m.end()].isspace():
+                    parted.append((p, m.group(), p[m.end():]))
+                    continue
+            whole.append(p)
+        return whole, parted
 
     def _learn(self, known: dict, pieces: set[str], lead: str) -> None:
-        new = list(pieces.difference(known))
-        plain = [p for p in new if not self._risky(p)]
-        if self._marks and lead:
-            marked = [p for p in plain if p[-1] in self._marks and p[:-1].isalpha()]
-            if marked:
-                bare = set(plain).difference(marked)
-                bare.update(p[:-1] for p in marked if p[:-1] not in known)
-                plain = list(bare)
-                known.update(zip(plain, self._encode([lead + p for p in plain])))
-                known.update((p, known[p[:-1]] + self._marks[p[-1]]) for p in marked)
-                plain = []
-        known.update(zip(plain, self._encode([lead + p for p in plain] if lead else plain)))
-        known.update((p, None) for p in new if self._risky(p))
+        new = pieces.difference(known)
+        if lead and self._old:
+            old = new.intersection(self._old)
+            known.update((p, self._old[p]) for p in old)
+            new.difference_update(old)
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        if len(plain) < len(new):
+            known.update(dict.fromkeys(new.difference(plain)))
+        if not lead:
+            known.update(zip(plain, self._encode(plain)))
+            return
+        parted: list[tuple[str, str, str]] = []
+        if self._parts:
+            plain, parted = self._split(plain)
+            words = {w for _, w, _ in parted}
+            plain = list(words.difference(known).union(plain))
+            ends = list({e for _, _, e in parted}.difference(self._ends))
+            if len(self._ends) > self._bound:
+                self._ends, ends = {}, list({e for _, _, e in parted})
+            self._ends.update(zip(ends, self._encode(ends)))
+        known.update(zip(plain, self._encode([lead + p for p in plain])))
+        known.update((p, known[w] + self._ends[e]) for p, w, e in parted)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The bytes of each text; null counts as empty."""
-        if len(self._first) + len(self._rest) > self._bound:
-            self._first, self._rest = {}, {}
+        if len(self._rest) > self._bound:
+            self._old, self._rest, self._first = self._rest, {}, {}
         split = [(text or "").split(" ") for text in texts]
         firsts = [pieces.pop(0) if pieces else "" for pieces in split]
         self._learn(self._first, set(firsts), "")

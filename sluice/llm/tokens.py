@@ -15,7 +15,7 @@ from sluice.llm.arrow import with_columns
 from sluice.llm.segments import SegmentCache
 
 #: Pieces encoded as one text, and pieces remembered by a worker.
-JOINED, CACHE_BOUND = 2048, 350_000
+JOINED, CACHE_BOUND = 2048, 250_000
 
 _known: dict[int, SegmentCache] = {}
 
@@ -55,7 +55,7 @@ def _cache(definition: str, kind: str = "<u4") -> SegmentCache:
             return out
 
         _known.clear()
-        _known[key] = SegmentCache(encode, CACHE_BOUND, marks=".,")
+        _known[key] = SegmentCache(encode, CACHE_BOUND, parts=True)
     return _known[key]
 
 
@@ -86,4 +86,4 @@ def encode(df: DataFrame, tokenizer_file: str, text_col: str = "text", ids_col:
 
         return run
 
-    return with_columns(df, [text_col], targets, make)
+    return with_columns(df, [text_col], targets, make, step=1000)
