@@ -19,6 +19,8 @@ class Rule:
     is_mechanical: str = "machine"
     entropy: float | None = None
     need_keyvalue: bool = False
+    #: Literals of which every matching text holds one; a text without them is not matched at all.
+    needles: tuple[str, ...] = ()
 
     @property
     def groups(self) -> int:
@@ -33,16 +35,16 @@ class Rule:
 
 #: Our own catalogue. Classes are spelled out in ASCII, so Java, RE2 and Python agree.
 CATALOGUE = (
-    Rule("generic-api-key", r"""(token|secret|api_key|apikey|access_key)[ ]{0,3}[=:][ ]{0,3}["']?([0-9A-Za-z_\-]{16,64})["']?""", "generic", entropy=3.0, need_keyvalue=True),
-    Rule("Email Address", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", "contact", "human"),
+    Rule("generic-api-key", r"""(token|secret|api_key|apikey|access_key)[ ]{0,3}[=:][ ]{0,3}["']?([0-9A-Za-z_\-]{16,64})["']?""", "generic", entropy=3.0, need_keyvalue=True, needles=("token", "secret", "api_key", "apikey", "access_key")),
+    Rule("Email Address", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", "contact", "human", needles=("@",)),
     Rule("IPv4 Address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "address"),
-    Rule("Host Name", r"[a-z0-9]+(?:\.[a-z0-9\-]+)*\.(?:com|org|net|io)", "address"),
+    Rule("Host Name", r"[a-z0-9]+(?:\.[a-z0-9\-]+)*\.(?:com|org|net|io)", "address", needles=(".com", ".org", ".net", ".io")),
     Rule("Hex Digest", r"[0-9a-f]{40}", "digest", entropy=2.0),
     Rule("Card Number", r"[0-9]{16}", "payment", entropy=2.5),
-    Rule("Uri", r"(?:https?|ftp)://[A-Za-z0-9._\-]+:[^@/ \n\"']+@[A-Za-z0-9._\-]+", "uri"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*", "jwt"),
-    Rule("Private Key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----", "private"),
-    Rule("AWS API Secret", r"AKIA[0-9A-Z]{16}", "aws"),
+    Rule("Uri", r"(?:https?|ftp)://[A-Za-z0-9._\-]+:[^@/ \n\"']+@[A-Za-z0-9._\-]+", "uri", needles=("://",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*", "jwt", needles=("eyJ",)),
+    Rule("Private Key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----", "private", needles=("PRIVATE KEY-----",)),
+    Rule("AWS API Secret", r"AKIA[0-9A-Z]{16}", "aws", needles=("AKIA",)),
 )
 
 #: Series whose rules need each other: a file must show every factor. None of our own rules does. [D15]

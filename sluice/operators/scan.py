@@ -43,7 +43,8 @@ def scan_chunk(assets: DataFrame, rules: list[tuple[int, Rule]], carry: tuple[st
     """Hits of some (number, rule) pairs, with further columns of the assets; no shuffle, so it also runs on a stream."""
 
     def hits(number: int, rule: Rule) -> Column:
-        return F.when(F.rlike("text", F.lit(rule.java)), F.transform(spans(F.col("text"), rule.java), lambda s: F.struct(
+        near = reduce(lambda a, n: a | F.contains("text", F.lit(n)), rule.needles[1:], F.contains("text", F.lit(rule.needles[0]))) if rule.needles else F.lit(True)
+        return F.when(near & F.rlike("text", F.lit(rule.java)), F.transform(spans(F.col("text"), rule.java), lambda s: F.struct(
             F.lit(number).alias("rule_ord"), F.lit(rule.rule_name).alias("rule_name"), F.lit(rule.series).alias("series"),
             F.lit(rule.is_mechanical).alias("is_mechanical"), F.lit(rule.entropy).cast("double").alias("threshold"),
             F.lit(rule.need_keyvalue).alias("need_keyvalue"), _value(rule, s["match"]).alias("value"), s["match"].alias("match"),

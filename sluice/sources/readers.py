@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.text import decode_fallback, decode_lossy
+from sluice.staging import spread
 
 # Fixed values that results depend on: extensions of binaries and media, the size limit, the manifest's format tag.
 BINARY = ["jpg", "jpeg", "png", "gif", "bmp", "ico", "svg", "webp", "tiff", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "ogg", "webm", "zip", "tar",
@@ -67,8 +68,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as assets (file, text)."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("file"), "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -60,4 +60,14 @@ def release() -> None:
             _delete(spark, path)
 
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its input has fewer partitions than there are cores.
+
+    Only inputs of a few small files are shuffled by this; larger ones stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 atexit.register(release)
