@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, chat, decon, neardup, pii, quality, rans, suffix, tokens, unigram, urls
-from sluice.staging import new_path, stage
+from sluice.staging import new_path, spread, stage
 
 #: The url rules of the contract.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -18,7 +18,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,22 +8,17 @@ Texts in which a space touches other white space are encoded as one piece.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
 #: Cached pieces of each of a worker's two generations.
 CACHE_BOUND = 100_000
 
-_WORD = re.compile(r"[^\W_]+")
-
-
 class SegmentCache:
     """Bytes for texts, encoded piece by piece. ``encode_pieces`` maps whole strings to bytes.
 
     The cache has two generations: when the younger is full the older goes, and pieces
-    still in use come over. With ``parts``, a piece of letters and digits followed by
-    another mark than an apostrophe is made of both parts' bytes, as the pattern breaks
-    between them too.
+    still in use come over. With ``parts``, a piece of letters and digits with a full stop
+    or comma after them is made of both parts' bytes, as the pattern breaks there too.
     """
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], bound: int = CACHE_BOUND, parts: bool = False):
@@ -35,15 +30,8 @@ class SegmentCache:
 
     def _split(self, pieces: list[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
         """Pieces to encode as they are, and (piece, word, end) of those that have parts."""
-        whole, parted = [], []
-        for p in pieces:
-            if not p.isalnum():
-                m = _WORD.match(p)
-                if m and p[m.end()] not in "'’" and not p[m.end()].isspace():
-                    parted.append((p, m.group(), p[m.end():]))
-                    continue
-            whole.append(p)
-        return whole, parted
+        parted = [(p, p[:-1], p[-1]) for p in pieces if p[-1] in ".," and p[:-1].isalnum()]
+        return list(set(pieces).difference([p for p, _, _ in parted])) if parted else pieces, parted
 
     def _learn(self, known: dict, pieces: set[str], lead: str) -> None:
         new = pieces.difference(known)
@@ -63,8 +51,6 @@ class SegmentCache:
             words = {w for _, w, _ in parted}
             plain = list(words.difference(known).union(plain))
             ends = list({e for _, _, e in parted}.difference(self._ends))
-            if len(self._ends) > self._bound:
-                self._ends, ends = {}, list({e for _, _, e in parted})
             self._ends.update(zip(ends, self._encode(ends)))
         known.update(zip(plain, self._encode([lead + p for p in plain])))
         known.update((p, known[w] + self._ends[e]) for p, w, e in parted)
