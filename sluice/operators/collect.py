@@ -25,14 +25,27 @@ CONTENT_TYPES = [("javascript", ".js"), ("ecmascript", ".js"), ("/css", ".css"),
 RESOURCE_TYPES = {"script": ".js", "stylesheet": ".css", "document": ".html", "xhr": ".json", "fetch": ".json"}
 LISTINGS = ["/tags/", "/tag/", "/category/", "/categories/", "/posts/", "/post/", "/blog/", "/articles/", "/article/", "/pages/", "/news/"]
 CHUNK_PREFIXES = ["static/js/", "assets/", "_next/static/chunks/", ""]
-PROBES_MANIFEST = ["/asset-manifest.json", "/build-manifest.json", "/manifest.json", "/_next/build-manifest.json", "/vite-manifest.json",
-                   "/.vite/manifest.json", "/static/js/asset-manifest.json", "/routes-manifest.json", "/prerender-manifest.json", "/nitro.json",
+PROBES_MANIFEST = ["/asset-manifest.json", "/build-manifest.json", "/manifest.json", "/_next/build-manifest.json", "/_next/react-loadable-manifest.json",
+                   "/vite-manifest.json", "/.vite/manifest.json", "/static/js/asset-manifest.json", "/routes-manifest.json", "/prerender-manifest.json",
+                   "/_next/static/_ssgManifest.js", "/_next/static/_buildManifest.js", "/nitro.json", "/_nuxt/builds/latest.json",
                    "/manifest.webmanifest", "/app.webmanifest", "/site.webmanifest"]
-PROBES_HIGH = ["/.env", "/.env.local", "/.env.production", "/.env.development", "/.env.staging", "/.env.backup", "/config.js", "/config.json",
-               "/app-config.js", "/runtime-config.js", "/env.js", "/env.json", "/settings.js", "/credentials.json", "/secrets.json"]
-PROBES_BUILD = ["/.git/config", "/.git/HEAD", "/webpack.config.js", "/vite.config.js", "/package.json", "/package-lock.json", "/.npmrc", "/Dockerfile",
-                "/docker-compose.yml", "/main.js.map", "/app.js.map", "/robots.txt", "/sitemap.xml", "/service-worker.js"]
-PROBES_DEBUG = ["/api/health", "/api/status", "/health", "/actuator", "/debug", "/graphql", "/api", "/api/config", "/admin"]
+PROBES_HIGH = ["/.env", "/.env.local", "/.env.production", "/.env.development", "/.env.staging", "/.env.backup", "/.env.bak", "/.env.old", "/config.js",
+               "/config.json", "/app-config.js", "/runtime-config.js", "/env.js", "/env.json", "/settings.js", "/app.config.js", "/config/database.yml",
+               "/config/secrets.yml", "/config/credentials.yml", "/credentials.json", "/secrets.json", "/private.json", "/firebase-credentials.json",
+               "/google-credentials.json", "/serviceAccountKey.json"]
+#: The first sixty, which the lite and balanced presets use; a caller may pass a longer list.
+PROBES_BUILD = ["/.git/config", "/.git/HEAD", "/.git/COMMIT_EDITMSG", "/.git/refs/heads/main", "/.git/refs/heads/master", "/.git/logs/HEAD",
+                "/webpack.config.js", "/webpack.config.production.js", "/webpack.config.js.bak", "/vite.config.js", "/vite.config.ts", "/rollup.config.js",
+                "/next.config.js", "/next.config.mjs", "/nuxt.config.js", "/babel.config.js", "/tsconfig.json", "/jsconfig.json", "/.DS_Store", "/Thumbs.db",
+                "/package.json", "/package-lock.json", "/yarn.lock", "/pnpm-lock.yaml", "/.npmrc", "/.yarnrc", "/.yarnrc.yml", "/.npmrc.local", "/.nvmrc",
+                "/.node-version", "/Dockerfile", "/docker-compose.yml", "/docker-compose.yaml", "/.dockerignore", "/.gitignore", "/Procfile", "/.travis.yml",
+                "/.circleci/config.yml", "/.github/workflows/deploy.yml", "/main.js.map", "/app.js.map", "/index.js.map", "/bundle.js.map", "/vendor.js.map",
+                "/runtime.js.map", "/index.html.bak", "/index.php.bak", "/config.js.bak", "/.env.bak", "/.env.old", "/.env.backup", "/config.json.bak",
+                "/settings.json.bak", "/dist.zip", "/build.zip", "/source.zip", "/backup.zip", "/dist.tar.gz", "/www.tar.gz", "/schema.graphql"]
+PROBES_DEBUG = ["/api/health", "/api/status", "/api/version", "/health", "/status", "/version", "/_health", "/__health", "/actuator", "/actuator/health",
+                "/actuator/env", "/actuator/info", "/debug", "/debug/vars", "/__debug__", "/__webpack_hmr", "/__vite_pong", "/@vite/client",
+                "/_next/webpack-hmr", "/webpack-dev-server", "/graphql", "/graphql/schema.json", "/api/graphql", "/api", "/api/v1", "/api/v2", "/api/config",
+                "/api/env", "/api/settings", "/old", "/backup", "/temp", "/tmp", "/test", "/admin", "/wp-admin", "/phpmyadmin"]
 
 
 @dataclass(frozen=True)
@@ -265,10 +278,10 @@ def frontier(edges: DataFrame, seeds: DataFrame, depth: int = 3, pages: int | No
     return seen.orderBy("depth", "url").limit(pages) if pages is not None else seen
 
 
-def probe_plan(sites: DataFrame, mode: str = "full") -> DataFrame:
+def probe_plan(sites: DataFrame, mode: str = "full", build: list[str] | None = None) -> DataFrame:
     """(site, path, tier, rank) of the probes of each site; the paths are literals, exploded, not joined. [C24]"""
     preset = PRESETS[mode]
-    tiers = [("manifest", PROBES_MANIFEST), ("high", PROBES_HIGH), ("build", PROBES_BUILD[:preset.build]), ("debug", PROBES_DEBUG[:preset.debug])]
+    tiers = [("manifest", PROBES_MANIFEST), ("high", PROBES_HIGH), ("build", (build or PROBES_BUILD)[:preset.build]), ("debug", PROBES_DEBUG[:preset.debug])]
     rows = [F.struct(F.lit(p).alias("path"), F.lit(t).alias("tier"), F.lit(k + 1).alias("rank")) for t, paths in tiers for k, p in enumerate(paths)]
     return sites.select("site", F.inline(F.array(*rows)))
 
