@@ -9,7 +9,7 @@ Jaccard similarity is at least 0.75, and a group is a connected component.
 2. Band buckets with several classes are kept. A pair is a candidate if its sizes
    allow the similarity, the shingles that each side has in common with any other
    class at all are enough for it, the population count of its sketches' exclusive
-   or is at most FAR, over five standard deviations beyond what 0.75 gives, and that
+   or is at most FAR, over six standard deviations beyond what 0.75 gives, and that
    of two further parity bitmaps, over the full sets, is at most a seventh of both
    sizes: it never exceeds the symmetric difference, so this rule loses nothing.
 3. Candidates are verified on the full sets, in three rounds: each class against
@@ -43,7 +43,7 @@ from sluice.staging import stage
 BANDS, ROWS = 32, 3
 WORDS = 5
 #: Bits that two sketches may differ in: samples 2 * 96 * (1 - 0.75) = 48 differ on average, which sets 40 +- 7 bits.
-FAR = 80
+FAR = 90
 NUMERATOR, DENOMINATOR = 3, 4
 PARITY_WORDS = 16
 #: Up to so many candidate classes are broadcast to fetch their texts; more are joined.
