@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.operators import candidate, collect
+from sluice.operators import analysis, candidate, collect
 from sluice.operators.rules import CATALOGUE, Rule
 
 NOW = 1_700_000_000
@@ -127,5 +127,35 @@ def sql() -> dict[str, str]:
             SELECT CASE WHEN {_contains('event_type', ['admin', 'root', 'superuser', 'write', 'delete', 'manage'])} THEN 'Critical' ELSE 'Potential' END AS risk,
                    CASE WHEN {_contains('event_type', ['admin', 'root', 'superuser', 'write', 'delete', 'manage'])} THEN 'jwt_privilege' WHEN exp < {NOW} THEN 'jwt_expired' WHEN exp - {NOW} > 604800 THEN 'jwt_long_lived' ELSE 'jwt_claims' END AS reason_code, count(*) AS n FROM t GROUP BY ALL""",
         "string_veto": "SELECT event_id || '.json' AS file, md5(event_id::VARCHAR) AS value FROM events WHERE event_id % 2 = 0",
+        "password_filter": f"""{h}, v AS (SELECT DISTINCT file, value, {_ENTROPY.format(v='value')} AS bits FROM hits)
+            SELECT file, value, CASE WHEN length(value) < 4 OR regexp_matches(value, '[ \\t\\n\\r\\f\\x0B(){{}};]') THEN 0
+              WHEN length(value) >= 8 AND (regexp_matches(value, '[a-z]')::INT + regexp_matches(value, '[A-Z]')::INT + regexp_matches(value, '[0-9]')::INT + regexp_matches(value, '[^A-Za-z0-9]')::INT >= 3 OR bits >= 3) THEN 2
+              ELSE 1 END::BIGINT AS password_class FROM v""",
+        "rich_scan": f"""{h}, k AS (SELECT *, regexp_extract(match, '^([A-Za-z_]+)', 1) AS key FROM hits WHERE length(value) >= 5 AND NOT (series = 'generic' AND length(value) = 42 AND starts_with(value, '0x'))
+              AND NOT (series = 'private' AND (length(match) < 128 OR (regexp_matches(match, 'ECC|RSA') AND length(match) < 256))))
+            SELECT file, rule_name, CASE WHEN series = 'generic' THEN key END AS prefix, CASE WHEN series IN ('generic', 'uri', 'jdbc') THEN value ELSE trim(match) END AS whole_secret_value,
+                   (index_start + CASE WHEN series = 'generic' THEN length(key) ELSE 0 END)::BIGINT AS index_start FROM k""",
+        "key_sides": f"""{h}, s AS (SELECT {_contains('lower(rule_name)', analysis.SDK_WORDS)} AS sdk, {_contains('lower(rule_name)', analysis.SERVER_WORDS)} AS server FROM hits)
+            SELECT CASE WHEN sdk AND NOT server THEN 'SDK/Public' WHEN server AND NOT sdk THEN 'Server/Secret' ELSE 'Ambiguous/Uncategorized' END AS side, count(*) AS n FROM s GROUP BY 1""",
+        "business_categories": f"{h}, {_PATHS}, c AS (SELECT *, CASE " + " ".join(
+            f"WHEN rule_name IN ({', '.join(map(_q, names))}) THEN {_q(category)}" for category, names in analysis.CATEGORIES.items())
+            + " END AS category FROM paths) SELECT category, count(*) AS n_hits, count(DISTINCT domain) AS n_domains FROM c WHERE category IS NOT NULL GROUP BY 1",
+        "framework_rules": f"{h}, {_PATHS}, e AS (" + " UNION ALL ".join(
+            f"SELECT {_q(name)} AS framework, rule_name FROM paths WHERE regexp_matches(path, {_q('(?i)(?:' + pattern + ')')})" for name, pattern in analysis.FRAMEWORKS.items())
+            + """), c AS (SELECT framework, rule_name, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY framework) AS total FROM c)
+            SELECT framework, rule_name, n FROM t WHERE total >= 10 QUALIFY row_number() OVER (PARTITION BY framework ORDER BY n DESC, rule_name) <= 5""",
+        "value_class": f"""{h}, v AS (SELECT value AS v, regexp_replace(value, '[^a-zA-Z0-9]', '', 'g') AS bare FROM hits)
+            SELECT CASE WHEN length(bare) >= 30 AND len(list_distinct(string_split(bare, ''))) / length(bare)::DOUBLE > 0.85 THEN 'charset_table' WHEN regexp_matches(v, '^(/|\\.\\.?/|https?://|data:)') THEN 'path_or_url'
+              WHEN regexp_matches(v, '[<>{{}}\\s()]') THEN 'code_or_markup' WHEN regexp_matches(v, '^[a-zA-Z][a-zA-Z0-9]*(-[a-zA-Z0-9]+){{2,}}(\\.[a-z]+)?$') THEN 'asset_id'
+              WHEN regexp_matches(v, '^(sk_live_|sk_test_|pk_live_|pk_test_|AKIA[0-9A-Z]|AIzaSy|xox[abprs]-|SG\\.[A-Za-z0-9]|ghp_|ya29\\.|eyJ)') THEN 'known_secret_format'
+              WHEN regexp_matches(v, '^[0-9a-f]{{32,64}}$') THEN 'hex_hash' WHEN regexp_matches(v, '^[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'version' ELSE 'high_entropy_unknown' END AS value_class, count(*) AS n FROM v GROUP BY 1""",
+        "url_extension": f"""WITH p AS (SELECT page_id, regexp_extract(string_split(url, '/')[-1], '^([^?]*)', 1) AS last, string_split(trim(regexp_extract(url, {_q(_PARTS)}, 3), '/'), '/')[-1] AS name FROM pages),
+            e AS (SELECT *, lower(regexp_extract(last, '(\\.[^.]*)$', 1)) AS own FROM p)
+            SELECT page_id, CASE WHEN contains(last, '.') THEN CASE WHEN own IN ({', '.join(map(_q, collect.SKIPPED))}) THEN '' ELSE own END ELSE '.html' END AS extension,
+                   substr(regexp_replace(CASE WHEN name = '' THEN 'document_index' ELSE name END, '[^A-Za-z0-9._-]', '_', 'g'), 1, 200) AS file_name FROM e""",
+        "ssr_findings": """SELECT page_id, 'SSR_DATA_INJECTION' AS type, 'Next.js' AS frame FROM pages WHERE regexp_extract(html, '(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1) <> ''
+            UNION ALL SELECT page_id, 'SSR_DATA_INJECTION', 'Nuxt.js' FROM pages WHERE regexp_matches(html, '(?s)window\\.__NUXT__\\s*=\\s*(\\{.+?\\})\\s*;')
+            UNION ALL SELECT page_id, 'INLINE_LOGIC', 'Alpine.js' FROM pages WHERE regexp_matches(html, 'x-data=["''](\\{[^"'']{15,})["'']')""",
+        "keyed_urls": "WITH " + hits((Rule("keyed-url", r"""https?://[^ \n"'<>]+[?&]key=[A-Za-z0-9_\-]+""", "url"),), source="pages", file="page_id", text="html") + f" SELECT {_KEYS} FROM hits",
     }
     return out
