@@ -194,6 +194,8 @@ def _zipped(docs: DataFrame, bounds: list[int]) -> DataFrame:
 
 
 def _texts(table: pa.Table) -> tuple[list[int], list[bytes]]:
+    """A batch's ids and texts by (id, z): occurrences name their row, and each shuffle brings the rows in an order of its own."""
+    table = table.select(["id", "z"]).sort_by([("id", "ascending"), ("z", "ascending")])
     expand = zstandard.ZstdDecompressor().decompress
     return table.column("id").to_pylist(), [expand(z) for z in table.column("z").to_pylist()]
 
@@ -355,7 +357,7 @@ def _cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
             d = int(doc[a])
             spans[d] = [{"start": s, "end": e} for s, e in zip(starts, ends)]
             kept[d] = b"".join(texts[d][s:e] for s, e in zip([0, *ends], [*starts, len(texts[d])]))
-    return pa.table({"id": docs.column("id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+    return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
                      "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
 

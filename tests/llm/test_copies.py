@@ -151,6 +151,30 @@ def test_repeated_strings_odd_rows(spark):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeated_strings_in_any_row_order(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(120)
+    rows = [(k, text(40 + 7 * k) + (passage if k % 2 else "") + text(30)) for k in range(24)] + [(30, text(90) + passage), (30, passage)]
+    want = repeats(rows[:24])
+    last = Counter(repeats([*rows[:24], row])[30] for row in rows[24:])
+    first, cut = suffix._contexts, suffix._cut
+
+    def permuted(docs, by):
+        return docs.take(np.random.default_rng(by).permutation(docs.num_rows))
+
+    def contexts(shards):
+        work = first(shards)
+        return lambda docs, shared: work(permuted(docs, 1), shared)
+
+    monkeypatch.setattr(suffix, "_contexts", contexts)
+    monkeypatch.setattr(suffix, "_cut", lambda docs, marks: cut(permuted(docs, 2), marks))
+    for batch in (1_500, 1 << 20):
+        got = [(r.doc_id, bytes(r.kept)) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=batch).collect()]
+        assert {i: kept for i, kept in got if i < 30} == want
+        assert Counter(kept for i, kept in got if i == 30) == last
+
+
 def test_levels_merge_geometrically():
     levels, seen = suffix.Levels(), set()
     rng = random.Random(8)
