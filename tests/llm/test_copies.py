@@ -237,6 +237,19 @@ def test_contamination(spark):
     assert decon.find(d.limit(0), b).count() == 0 and decon.find(d, b.limit(0)).count() == 0
 
 
+def test_contamination_with_repeated_shingles(spark):
+    rng = random.Random(13)
+    items, docs = [], []
+    for k in range(12):
+        own = [f"a{k}_{rng.randrange(10**6)}" for _ in range(53)]
+        items.append((k, " ".join([f"x{k}"] * 14 + own)))
+        docs.append((k, " ".join([f"x{k}"] * 5 + own + [f"b{k}_{j}" for j in range(20)])))
+    want = contaminated(docs, items)
+    assert len(want) == 12
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (r.n_common, r.start_word, r.similarity) for r in decon.find(d, b).collect()} == want
+
+
 def test_hamming_blocks_cover_the_radius():
     rng = random.Random(10)
     assert sum(n for _, n in decon.BLOCKS) == 64 and len(decon.BLOCKS) == decon.RADIUS + 1
