@@ -150,10 +150,15 @@ def classify(hits: DataFrame, now: int = 0, strict: bool = False) -> DataFrame:
     return made.select(*hits.columns, F.col("_d.risk").alias("risk_label"), F.col("_d.code").alias("risk_reason"), F.col("_var1").alias("var_name"))
 
 
+def vector_text() -> Column:
+    """What is embedded of a classified hit: its variable and the start of its value. [R13]"""
+    return F.concat_ws(" ", "var_name", F.substr("value", F.lit(1), F.lit(50)))
+
+
 def label(hits: DataFrame, kb: DataFrame, now: int = 0, embedder=hash_embed, threshold: float = 0.8) -> DataFrame:
     """Classified hits without noise; pending ones by the nearest entry of the knowledge base. [R13-R17]"""
     done = stage(classify(hits, now), "labelled")
-    pending = done.where(F.col("risk_label") == PENDING).withColumn("_text", F.concat_ws(" ", "var_name", F.substr("value", F.lit(1), F.lit(50))))
+    pending = done.where(F.col("risk_label") == PENDING).withColumn("_text", vector_text())
     found = nearest(embed(pending, "_text", "_vector", embedder), kb, "_vector")
     level = F.lower(F.coalesce("kb_risk", F.lit("")))
     folded = F.when(F.col("score") < threshold, POTENTIAL).when(level.isin("critical", "high", "severe"), CRITICAL).when(level.isin("falsepositive", "lowrisk", "safe", "low", "info"), NOISE).otherwise(POTENTIAL)

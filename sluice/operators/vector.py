@@ -102,6 +102,7 @@ def nearest(queries: DataFrame, kb: DataFrame, vector_col: str = "vector", block
     """``queries`` with kb_id, kb_risk, kb_service and score of the entry of greatest cosine. [V30, R14]
 
     ``kb`` is (id, vector, risk_level, service); rows without a vector are left out.
+    A query of another dimension than the entries is an error, not a miss.
     Of equal scores the least id wins, as the entries are in id order. A base of up to
     ``block`` entries is one broadcast matrix; a larger one is dealt into blocks of
     that size by a hash of the id, each query meets every block once, and the best of
@@ -134,7 +135,10 @@ def nearest(queries: DataFrame, kb: DataFrame, vector_col: str = "vector", block
             column = batch.column(vector_col)
             for i in range(0, batch.num_rows, 1024):
                 vectors = column.slice(i, 1024).to_pylist()
-                usable = [k for k, v in enumerate(vectors) if v and len(names) and len(v) == base.shape[1]]
+                usable = [k for k, v in enumerate(vectors) if v and len(names)]
+                wrong = {len(vectors[k]) for k in usable} - {base.shape[1]}
+                if wrong:
+                    raise ValueError(f"vectors of {sorted(wrong)} dimensions, but a knowledge base of {base.shape[1]}")
                 got: list[tuple] = [(None, None, None, -1.0)] * len(vectors)
                 if usable:
                     q = np.array([vectors[k] for k in usable], np.float32)

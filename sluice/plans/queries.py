@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import analysis, bindings, candidate, classify_v1, classify_v2, collect, rules, scan, strings, vector
+from sluice.operators.cascade import PENDING
 from sluice.plans import oracles
 from sluice.sources import readers, sinks
 from sluice.staging import stage
@@ -158,8 +159,11 @@ def jwt_claims(spark, d):
 
 
 def labelled_v1(spark, d):
-    _, kb = _kb(spark, d)
-    return classify_v1.label(_hits(spark, d), kb, NOW).groupBy("rule_name", "risk_label").agg(F.count(F.lit(1)).alias("n"))
+    """Pending hits by their nearest neighbour among all hits that the rules settle."""
+    hits = _hits(spark, d)
+    settled = classify_v1.classify(hits, NOW).where(F.col("risk_label") != PENDING).select(classify_v1.vector_text().alias("t"), "risk_label").distinct()
+    kb = vector.embed(settled, "t").select(F.concat_ws(":", "risk_label", F.md5("t")).alias("id"), "vector", F.lower("risk_label").alias("risk_level"), F.lit(None).cast("string").alias("service"))
+    return classify_v1.label(hits, stage(kb, "kb"), NOW).groupBy("rule_name", "risk_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _kb(spark, d):

@@ -94,6 +94,21 @@ def test_nearest_and_ties(spark, block):
     assert got[1] == ("a", 0.999) and got[2] == ("c", 1.0) and got[3] == (None, -1.0)
 
 
+def test_nearest_refuses_other_dimensions(spark):
+    kb = spark.createDataFrame([("a", [1.0, 0.0], "high", None)], "id string, vector array<float>, risk_level string, service string")
+    with pytest.raises(Exception, match="dimensions"):
+        vector.nearest(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "i int, vector array<float>"), kb).collect()
+
+
+def test_labelled_v1_takes_the_neighbours_label(spark, monkeypatch):
+    from sluice.plans import queries
+
+    value = RANDOM + "Hd6" + RANDOM[::-1]
+    rows = [("f", "g", "generic", value, f"masterKey: '{value}'", ""), ("f", "h", "generic", value, f"zz = {value}", "")]
+    monkeypatch.setattr(queries, "_hits", lambda spark, d: spark.createDataFrame(rows, COLUMNS))
+    assert {(r.rule_name, r.risk_label, r.n) for r in queries.labelled_v1(spark, "/root/testdata/sf0.001").collect()} == {("g", "Critical", 1), ("h", "Critical", 1)}
+
+
 def test_whole_classifier(spark):
     hits = spark.createDataFrame([("f", "generic-api-key", "generic", RANDOM, "x", "q1"), ("f", "Private Key", "private", "k", "k", "")], COLUMNS)
     kb = spark.createDataFrame([], "id string, vector array<float>, risk_level string, service string")
