@@ -58,11 +58,11 @@ def groups(rows):
     return {i: (len(s[i]), find(i), i == find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("seed", "bound"), [(1, 10**6), (2, 0), (3, 10**6)])
-def test_near_duplicates(spark, seed, bound):
+@pytest.mark.parametrize(("seed", "bound", "hot", "block"), [(1, 10**6, 2000, 1024), (2, 0, 1, 2), (3, 10**6, 5, 7)])
+def test_near_duplicates(spark, seed, bound, hot, block):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component int")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.group(df, max_broadcast=bound).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.group(df, max_broadcast=bound, hot=hot, block=block).collect()}
     assert got == groups(rows)
 
 
