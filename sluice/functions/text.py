@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,16 +34,6 @@ def spans(text: Column, pattern: str) -> Column:
         lambda s: s["out"])
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of an offset: the newlines before it and one. [D5]"""
-    return F.size(F.split(F.substr(text, F.lit(1), offset), "\n", -1))
-
-
-def column_of(text: Column, offset: Column) -> Column:
-    """1-based column of an offset. [D5]"""
-    return F.length(F.substring_index(F.substr(text, F.lit(1), offset), "\n", -1)) + 1
-
-
 def snake_case(name: Column) -> Column:
     """camelCase, kebab-case and dotted names as snake_case. [R2]"""
     humps = F.regexp_replace(F.trim(name), "([a-z0-9])([A-Z])", "$1_$2")
@@ -122,43 +111,3 @@ def _plain(text: pd.Series) -> pd.Series:
 def plain_text(text: Column) -> Column:
     """Escapes and HTML entities decoded; null as empty. [R1]"""
     return _plain(text)
-
-
-def java_regex(pattern: str) -> str:
-    """A Python pattern as a Java one; raises ValueError rather than guess. [S8]
-
-    Python's classes and case folding know Unicode, so the flags ``(?U)`` and ``(?iu)``
-    restore them; ``\\Z`` becomes ``\\z``. Named groups, unescaped brackets within
-    classes and inline flags after the start are refused, as are patterns that can
-    match the empty string or that Python itself refuses.
-    """
-    try:
-        compiled = re.compile(pattern)
-    except re.error as error:
-        raise ValueError(f"not a pattern: {error}") from error
-    if compiled.fullmatch(""):
-        raise ValueError("matches the empty string")
-    flags, body = "", pattern
-    head = re.match(r"\(\?([aimsux]+)\)", pattern)
-    if head:
-        flags, body = head[1], pattern[head.end():]
-    if "x" in flags or "(?P" in body or re.search(r"\(\?[aiLmsux]+\)", body):
-        raise ValueError("named groups, verbose patterns and later flags are not translated")
-    depth, i = 0, 0
-    while i < len(body):
-        if body[i] == "\\":
-            i += 2
-            continue
-        if body[i] == "[":
-            if depth:
-                raise ValueError("an unescaped bracket within a class")
-            depth = 1
-        elif body[i] == "]":
-            depth = 0
-        elif depth and body[i:i + 2] == "&&":
-            raise ValueError("a class intersection")
-        i += 1
-    body = body.replace(r"\Z", r"\z")
-    ascii_only = "a" in flags or body.isascii() and not re.search(r"\\[wWdDsSbB]", body)
-    java = "".join(f for f in flags if f in "ims") + ("" if "i" not in flags or "a" in flags else "u")
-    return (f"(?{java})" if java else "") + ("" if ascii_only else "(?U)") + body

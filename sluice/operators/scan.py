@@ -1,78 +1,103 @@
 """Scanning assets with rules, and the reductions over the hits of a file.
 
-A hit is a row. Rules become literal expressions, so a scan is one pass over the
-assets without Python; the steps after it are windows and joins keyed by file.
+A hit is a row. A scan is one pass over the assets, in Arrow batches and without a
+shuffle; the steps after it are windows and joins keyed by file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sluice.functions.text import column_of, entropy, line_of, spans, unescape
+from sluice.functions.batches import bound_batches
+from sluice.functions.matching import OutOfTime, matches, time_limit
+from sluice.functions.text import unescape_text
+from sluice.operators import strings
 from sluice.operators.rules import CATALOGUE, FACTORS, Rule
 from sluice.schema import HIT_KEY
 from sluice.staging import stage
 
-#: Rules of one projection; more are scanned in several projections and united.
-CHUNK = 40
 #: Hits of a file after which no further rule is tried. [D13]
 HIT_CAP = 100_000
+#: Seconds that a file may take. [D18]
+TIMEOUT = 30.0
+#: Hits sent on together.
+BUFFER = 20_000
 #: Offsets of a bin of the containment join.
 BIN = 1024
 EXEMPT_ENDINGS = ("URL", "ID", "User", "Domain")
+_FOUND = T.StructType([T.StructField(name, kind) for kind, names in (
+    (T.IntegerType(), ("rule_ord",)), (T.StringType(), ("rule_name", "series", "is_mechanical")), (T.BooleanType(), ("need_keyvalue",)),
+    (T.StringType(), ("value", "match")), (T.IntegerType(), ("index_start", "index_end")), (T.DoubleType(), ("entropy",)),
+    (T.IntegerType(), ("line_start", "line_end", "col_start", "col_end")), (T.LongType(), ("ord",)), (T.StringType(), ("failure",))) for name in names])
 
 
-def _value(rule: Rule, match: Column) -> Column:
-    """The secret within a match; null drops the hit. [D6, D7]"""
-    if rule.series == "uri":
-        userinfo = F.regexp_extract(match, r"://([^/?#]*)@", 1)
-        return F.when(F.contains(userinfo, F.lit(":")), F.regexp_replace(userinfo, r"^[^:]*:", ""))
-    groups = rule.groups
-    if groups == 0:
-        return match
-    group = 2 if rule.series == "generic" and groups >= 2 else 1
-    taken = F.regexp_extract(match, rule.java, group)
-    return F.when(F.length(taken) > 0, taken)
-
-
-def scan_chunk(assets: DataFrame, rules: list[tuple[int, Rule]], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Hits of some (number, rule) pairs, with further columns of the assets; no shuffle, so it also runs on a stream."""
-
-    def hits(number: int, rule: Rule) -> Column:
-        near = reduce(lambda a, n: a | F.contains("text", F.lit(n)), rule.needles[1:], F.contains("text", F.lit(rule.needles[0]))) if rule.needles else F.lit(True)
-        return F.when(near & F.rlike("text", F.lit(rule.java)), F.transform(spans(F.col("text"), rule.java), lambda s: F.struct(
-            F.lit(number).alias("rule_ord"), F.lit(rule.rule_name).alias("rule_name"), F.lit(rule.series).alias("series"),
-            F.lit(rule.is_mechanical).alias("is_mechanical"), F.lit(rule.entropy).cast("double").alias("threshold"),
-            F.lit(rule.need_keyvalue).alias("need_keyvalue"), _value(rule, s["match"]).alias("value"), s["match"].alias("match"),
-            s["start"].alias("index_start"), s["end"].alias("index_end"))))
-
-    found = assets.withColumn("__hits", F.flatten(F.array_compact(F.array(*[hits(k, r) for k, r in rules]))))
-    each = found.select("file", "text", *carry, F.explode("__hits").alias("h")).select("file", "text", *carry, "h.*").where(F.col("value").isNotNull())
-    placed = each.withColumns({
-        "entropy": entropy(F.col("value")),
-        "line_start": line_of(F.col("text"), F.col("index_start")), "line_end": line_of(F.col("text"), F.col("index_end")),
-        "col_start": column_of(F.col("text"), F.col("index_start")), "col_end": column_of(F.col("text"), F.col("index_end")),
-    }).drop("text")
-    return placed.where(F.col("threshold").isNull() | (F.col("entropy") >= F.col("threshold"))).drop("threshold")
-
-
-def scan(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bool = True) -> DataFrame:
-    """Hits of all rules in (file, text). [D1, D2, D5-D8]
+def attempts(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bool = True, carry: tuple[str, ...] = (),
+             most: int | None = None, timeout: float | None = TIMEOUT) -> DataFrame:
+    """Hits of all rules in (file, text), and one row with ``failure`` for each file that could not be scanned. [D1, D2, D5-D8, D13, D18, D19]
 
+    A failure (``timeout``, or the error's name) stands in place of all hits of its file.
     ``ord``, the place of a hit in its file by rule and offset, stands for list order
-    wherever that decides.
+    wherever that decides. A null text has no hits. Without a shuffle or state, so it
+    also runs on a stream.
     """
-    assets = assets.select("file", "text")
-    if unescaped:
-        assets = unescape(assets)
-    listed = list(enumerate(rules))
-    parts = [scan_chunk(assets, listed[i:i + CHUNK]) for i in range(0, len(listed), CHUNK)]
-    united = reduce(DataFrame.unionByName, parts)
-    return united.withColumn("ord", F.col("rule_ord").cast("long") * F.lit(1 << 40) + F.col("index_start"))
+    bound_batches(assets.sparkSession)
+    kept = assets.select("file", "text", *carry)
+    schema = T.StructType([*[f for f in kept.schema if f.name != "text"], *_FOUND])
+    arrow = to_arrow_schema(schema)
+    listed = list(rules)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [(k, re.compile(r.regex), r.series, r.entropy, r.needles) for k, r in enumerate(listed)]
+        head = [(k, r.rule_name, r.series, r.is_mechanical, r.need_keyvalue) for k, r in enumerate(listed)]
+        fail = (None,) * (len(_FOUND) - 1)
+
+        def scanned(text: str) -> list[tuple]:
+            try:
+                with time_limit(timeout):
+                    plain = unescape_text(text) if unescaped else text
+                    if plain is not text:
+                        plain = plain.encode("utf-8", "replace").decode()
+                    return [(*head[k], value, match, start, end, bits, line, line_end, col, col_end, (k << 40) + start, None)
+                            for k, value, match, start, end, bits, line, line_end, col, col_end in matches(plain, ready, most)]
+            except OutOfTime:
+                return [(*fail, "timeout")]
+            except Exception as error:  # whatever one file raises, the others go on
+                return [(*fail, type(error).__name__)]
+
+        for batch in batches:
+            given = [batch.column(f.name) for f in schema if f.name not in _FOUND.names]
+            rows: list[tuple] = []
+            of: list[int] = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if text:
+                    found = scanned(text)
+                    rows += found
+                    of += [i] * len(found)
+                if rows and (len(rows) >= BUFFER or i + 1 == batch.num_rows):
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[len(given):])]
+                    yield pa.RecordBatch.from_arrays([*[g.take(pa.array(of, pa.int64())) for g in given], *columns], schema=arrow)
+                    rows, of = [], []
+
+    return kept.mapInArrow(work, schema)
+
+
+def scan(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bool = True, carry: tuple[str, ...] = (),
+         most: int | None = None, timeout: float | None = TIMEOUT) -> DataFrame:
+    """The hits among ``attempts``."""
+    return attempts(assets, rules, unescaped, carry, most, timeout).where("failure IS NULL").drop("failure")
+
+
+def failures(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bool = True, timeout: float | None = TIMEOUT) -> DataFrame:
+    """(file, failure) of the files that could not be scanned. [D18, D19]"""
+    return attempts(assets, rules, unescaped, timeout=timeout).where("failure IS NOT NULL").select("file", "failure")
 
 
 def cap(hits: DataFrame, most: int = HIT_CAP) -> DataFrame:
@@ -160,9 +185,13 @@ def keyed_urls(assets: DataFrame) -> DataFrame:
 
 
 def live(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, factors: dict[str, tuple[str, ...]] = FACTORS) -> DataFrame:
-    """The live composition: scan, cap, factors, containment, certification drop. [D2]
+    """The live composition: scan with its cap, factors, containment, string veto, certification drop. [D2, D16]
 
     The hits are written once to the shared folder, so that the joins over them do not
-    scan the texts again.
+    scan the texts again. The veto reads only structured files that have hits left.
     """
-    return drop_series(drop_contained(complete_factors(cap(stage(scan(assets, rules), "hits")), factors)))
+    hits = stage(scan(assets, rules, most=HIT_CAP), "hits")
+    left = stage(drop_contained(complete_factors(hits, factors)), "reduced")
+    structured = assets.select("file", "text").where(F.lower(F.element_at(F.split("file", r"\.", -1), -1)).isin(list(strings.EXTRACTORS)))
+    read = strings.extracted(structured.join(left.select("file").distinct(), "file", "left_semi"))
+    return drop_series(strings.veto(left, read))

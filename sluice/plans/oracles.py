@@ -8,22 +8,27 @@ from sluice.operators.rules import CATALOGUE, Rule
 NOW = 1_700_000_000
 
 
+#: The patterns that the scan writes with look-arounds, in plain form.
+PLAIN = {"Email Address": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", "Host Name": r"[a-z0-9]+(?:\.[a-z0-9\-]+)*\.(?:com|org|net|io)"}
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def _rule(k: int, rule: Rule, source: str = "documents", file: str = "doc_id", text: str = "text") -> str:
     group = 2 if rule.series == "generic" and rule.groups >= 2 else min(1, rule.groups)
-    value = f"regexp_extract(m[i], {_q(rule.regex)}, {group})" if group else "m[i]"
+    value = f"regexp_extract(m[i], {_q(PLAIN.get(rule.rule_name, rule.regex))}, {group})" if group else "m[i]"
     if rule.series == "uri":
         value = "nullif(regexp_extract(m[i], '://[^/:@]*:([^@]*)@', 1), '')"
+    regex = _q(PLAIN.get(rule.rule_name, rule.regex))
     gate = f" AND bits >= {rule.entropy}" if rule.entropy is not None else ""
     return f"""
 SELECT file, text, {_q(rule.rule_name)} AS rule_name, {_q(rule.series)} AS series, {_q(rule.is_mechanical)} AS is_mechanical, {k} AS rule_ord, {str(rule.need_keyvalue).lower()} AS need_keyvalue,
        match, value, s AS index_start, s + length(match) AS index_end, bits AS entropy
 FROM (SELECT file, text, m[i] AS match, {value} AS value, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
-      FROM (SELECT {file}::VARCHAR AS file, {text} AS text, regexp_extract_all({text}, {_q(rule.regex)}) AS m, string_split_regex({text}, {_q(rule.regex)}) AS g,
-                   unnest(range(1, len(regexp_extract_all({text}, {_q(rule.regex)})) + 1)) AS i FROM {source}))
+      FROM (SELECT {file}::VARCHAR AS file, {text} AS text, regexp_extract_all({text}, {regex}) AS m, string_split_regex({text}, {regex}) AS g,
+                   unnest(range(1, len(regexp_extract_all({text}, {regex})) + 1)) AS i FROM {source}))
      , LATERAL (SELECT coalesce(-sum(c / n * log2(c / n)), 0.0) AS bits FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER ()::DOUBLE AS n FROM (SELECT unnest(string_split(value, '')) AS ch) WHERE ch <> '' GROUP BY ch))
 WHERE value IS NOT NULL AND value <> ''{gate}"""
 

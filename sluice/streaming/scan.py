@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.rules import CATALOGUE
-from sluice.operators.scan import scan_chunk
+from sluice.operators.scan import scan
 from sluice.schema import HIT_KEY
 
 
@@ -17,7 +17,7 @@ def stream_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_hits(assets: DataFrame, delay: str = "1 hour", rules=CATALOGUE) -> DataFrame:
     """Hits of a stream of assets, each key once within ``delay`` of its first sight. [K1, K4, D22]"""
-    hits = scan_chunk(assets.withWatermark("seen", delay), list(enumerate(rules)), ("seen",))
+    hits = scan(assets.withWatermark("seen", delay), rules, unescaped=False, carry=("seen",))
     return hits.dropDuplicatesWithinWatermark(list(HIT_KEY))
 
 
