@@ -19,21 +19,31 @@ FRAMEWORKS = {
     "Static HTML": r"\.html?$", "CSS/SCSS": r"\.css$|\.scss$|\.sass$", "Config JSON": r"\.json$", "Config YAML": r"\.ya?ml$|\.toml$",
     "Env files": r"\.env|\.envrc", "SVG": r"\.svg$", "Media": r"\.(png|jpg|jpeg|gif|webp|ico|woff|woff2|ttf|eot|mp4|mp3)$",
 }
-SDK_WORDS = ["posthog", "segment", "amplitude", "mixpanel", "google", "intercom", "customerio", "mailchimp", "sentry", "datadog", "newrelic", "hotjar",
-             "optimizely", "facebook", "twitter", "linkedin", "stripe", "paypal", "algolia", "elastic", "mapbox", "cloudflare", "fastly", "cloudinary",
-             "sendgrid", "mailgun", "twilio", "contentful", "sanity", "blogger", "disqus", "sumo", "zendesk", "hubspot", "braintree", "razorpay", "float",
-             "debounce", "abstract", "datafire", "netlify", "vercel", "heroku", "digitalocean", "aws", "azure", "gcp", "firebase", "pusher", "wit", "ibm",
-             "openai", "anthropic", "deepgram", "rev", "ocr"]
-SERVER_WORDS = ["aws secret", "azure client secret", "private key", "jwt", "bearer", "authorization", "oauth", "api secret", "api_secret", "secretkey",
-                "secret_key", "client secret", "connection string", "conn_str", "database", "jdbc", "mongodb", "redis", "postgres", "mysql", "mssql",
-                "oracle", "db_", "rds_", "mongo_", "s3 ", "s3_", "storage_account", "storage_key", "slack", "discord", "telegram", "smtp", "ssh_", "gcp_",
-                "googleapis", "firebase_"]
+SDK_WORDS = ["PostHog", "Segment", "Amplitude", "Mixpanel", "Google_Analytics", "Google_YouTube", "Intercom", "CustomerIO", "Mailchimp", "Sentry", "Datadog",
+             "NewRelic", "FullStory", "Hotjar", "Optimizely", "KISSmetrics", "Heap", "Adjust", "AppsFlyer", "Branch.io", "Facebook", "Twitter", "LinkedIn",
+             "Stripe", "PayPal", "Algolia", "SearchIQ", "Sphinx", "Swiftype", "Elastic", "Mapbox", "Google_Maps", "Google", "Akamai", "Cloudflare", "Fastly",
+             "Cloudfront", "Imgix", "Cloudinary", "SendGrid", "Mailgun", "SparkPost", "Twilio", "Nexmo", "Plivo", "Twilio", "Contentful", "Sanity", "Strapi",
+             "Storyblok", "Blogger", "Disqus", "Sumo", "Olark", "Zendesk", "Hubspot", "Pipedrive", "Close.io", "Freshsales", "Chargebee", "Recurly", "Paymill",
+             "Braintree", "Razorpay", "Paytm", "Float", "Deputy", "WorkBoard", "Aha", "ProductHunt", "Debounce", "Abstract", "Scraper", "Scraping", "Apify",
+             "Crawlera", "Phantom", "Screenshot", "Blocksp", "Datafire", "Iron", "Glitch", "Render", "Netlify", "Vercel", "Heroku", "DigitalOcean", "Linode",
+             "AWS", "Azure", "GCP", "Firebase", "Supabase", "Pusher", "Ably", "PubNub", "Firebase", "Clarifai", "Wit", "Microsoft", "IBM", "Nvidia",
+             "Replicate", "OpenAI", "Cohere", "AI21", "Anthropic", "Hugging Face", "Deepgram", "AssemblyAI", "Speechmatics", "Rev", "Nuance", "OCR", "abbyy",
+             "trainual"]
+SERVER_WORDS = ["AWS Secret", "Azure Client Secret", "Private Key", "Jwt", "JWT", "Bearer", "Authorization", "OAuth", "Api Secret", "api_secret", "SecretKey",
+                "secret_key", "Client Secret", "connection string", "conn_str", "Database", "Jdbc", "MongoDB", "Redis", "Postgres", "MySQL", "mssql", "oracle",
+                "db_", "rds_", "mongo_", "S3 ", "s3_", "storage_account", "storage_key", "Slack", "Discord", "Telegram", "SMTP", "ssh_", "gcp_", "googleapis",
+                "firebase_"]
 CATEGORIES = {
     "Analytics/Product Analytics": ["Posthog API Key", "Segment", "Amplitude", "Mixpanel", "Heap", "Hotjar"],
     "Marketing/CRM": ["hubspot-api-key", "Intercom API Key", "CustomerIO API Key", "Mailchimp", "Zendesk", "Facebook"],
     "Cloud/Infrastructure": ["AWS", "Azure", "Google", "Firebase", "Cloudflare", "Fastly"],
-    "Secret/Auth": ["jwt", "Azure Client Secret", "AWS API Secret", "discord-client-secret"],
+    "Search": ["Algolia", "Elastic", "Swiftype", "SearchIQ", "Sphinx"],
+    "Communication": ["Twilio", "Slack", "SendGrid", "Mailgun", "Discord", "Telegram"],
     "Payments": ["Razorpay", "Stripe", "PayPal", "Braintree", "Chargebee", "Paymill"],
+    "Secret/Auth": ["jwt", "Azure Client Secret", "AWS API Secret", "discord-client-secret"],
+    "DevOps/Hosting": ["Host API Key", "Heroku", "Netlify", "Vercel", "DigitalOcean"],
+    "Content/CMS": ["Contentful", "Blogger", "Sanity", "Strapi"],
+    "Maps/Geolocation": ["Mapbox", "Google_Maps"],
 }
 
 
@@ -109,7 +119,7 @@ def drill_down(hits: DataFrame, context: str, k: int = 10) -> DataFrame:
 def key_side(rule: Column) -> Column:
     """SDK/Public, Server/Secret or neither, if one list matches alone. [N10]"""
     low = F.lower(rule)
-    sdk, server = contains_any(low, SDK_WORDS), contains_any(low, SERVER_WORDS)
+    sdk, server = (contains_any(low, [w.lower() for w in words]) for words in (SDK_WORDS, SERVER_WORDS))
     return F.when(sdk & ~server, "SDK/Public").when(server & ~sdk, "Server/Secret").otherwise("Ambiguous/Uncategorized")
 
 

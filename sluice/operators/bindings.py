@@ -12,10 +12,10 @@ PROPERTY_NAMES = ["apiKey", "api_key", "apikey", "accessKey", "access_key", "acc
                   "client_secret", "clientId", "client_id", "authToken", "auth_token", "privateKey", "private_key", "publishableKey", "token", "secret",
                   "password", "passwd", "credential", "credentials", "appKey", "app_key", "appSecret", "app_secret", "consumerKey", "consumer_key",
                   "consumerSecret", "consumer_secret", "signingKey", "signing_key"]
-SDK = (r"(?i)initializeApp|firebase\.init|Stripe\s*\(|stripe\.init|Bugsnag\.start|Sentry\.init|amplitude\.init|mixpanel\.init|analytics\.init|"
-       r"braintree\.create|paypal\.Buttons|new\s*Pusher|algolia\s*\(|algoliasearch\s*\(|mapboxgl\.accessToken|google\.maps")
-HTTP = r"(?i)Authorization|X-API-Key|api[_-]?key|apikey|access[_-]?token|Bearer\s|api[_-]?secret|client[_-]?secret"
-CRYPTO = r"(?i)hmac|sha256|md5\s*\(|encrypt\s*\(|sign\s*\(|createHmac"
+SDK = (r"(?i)initializeApp|firebase\.init|Stripe\s*\(|stripe\.init|Bugsnag\.start|Sentry\.init|amplitude\.init|mixpanel\.init|analytics\.init|braintree\.create"
+       r"|paypal\.Buttons|pusher\s*=\s*new\s*Pusher|new\s*Pusher\s*\(|algolia\s*\(|algoliasearch\s*\(|mapboxgl\.accessToken|google\.maps|new\s*google\.maps")
+HTTP = r"(?i)Authorization|X-API-Key|X-Api-Key|api[_-]?key|apikey|access[_-]?token|Bearer\s|api[_-]?secret|client[_-]?secret"
+CRYPTO = r"(?i)hmac|HMAC|sha256|SHA256|md5\s*\(|MD5\s*\(|encrypt\s*\(|sign\s*\(|createHmac"
 NOISE = r"(?i)split\s*\(|replace\s*\(|charCodeAt|charAt\s*\(|indexOf\s*\(|slice\s*\(|substring\s*\(|toLowerCase|toUpperCase|\.length|RegExp"
 
 _DECLARED = r"""(?<![\w$.])([A-Za-z_$][\w$]{0,2})\s*=\s*(?:"([^"\\\n]{20,150})"|'([^'\\\n]{20,150})')"""
@@ -72,6 +72,11 @@ def context_signals(assets: DataFrame, found: DataFrame) -> DataFrame:
     unknown = found.where(value_class(F.col("val")) == "high_entropy_unknown")
     at = F.position("val", "text")
     joined = unknown.join(assets.select("file", "text"), "file").withColumn("__at", at).where("__at > 0")
+    # the name is that of the declaration next to the value, up to 200 characters before it
+    from_ = F.greatest(F.col("__at") - 200, F.lit(1))
+    near = F.substr("text", from_, F.col("__at") + F.length("val") + 10 - from_)
+    declared = F.concat(F.lit(r"""(?:var|let|const)\s+([a-zA-Z$])\s*=\s*["']\Q"""), F.replace(F.left("val", F.lit(30)), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    joined = joined.withColumn("var", F.call_function("regexp_extract", near, declared, F.lit(1))).where("var <> ''")
     window = F.substr("text", F.col("__at"), F.lit(2000))
     has = {n: F.rlike(window, F.lit(p)) for n, p in (("SDK_INIT", SDK), ("HTTP_AUTH", HTTP), ("CRYPTO", CRYPTO))}
     usable = (has["SDK_INIT"] | has["HTTP_AUTH"] | has["CRYPTO"]) & ~(F.rlike(window, F.lit(NOISE)) & ~has["SDK_INIT"] & ~has["HTTP_AUTH"])

@@ -14,6 +14,10 @@ from sluice.functions.similarity import similar_udf
 from sluice.functions.text import before, contains_any, count_contained, entropy
 from sluice.operators.rules import CATALOGUE, Rule
 
+#: Offsets of a bin of the join of touching hits.
+BIN = 1024
+#: Up to so many dictionary words are ranked on the driver and broadcast.
+MAX_WORDS = 1_000_000
 #: Fixed values that results depend on: word lists of the filters.
 VALUE_PLACEHOLDERS = ["changeit", "changeme", "change", "guest", "printf", "return", "test", "user", "pass", "password", "username", "secret", "test",
                       "bar", "foobar", "api_secret", "token", "pwd", "password", "apikey", "parola", "parolan", "wachtwoord", "salasana", "pasahitza",
@@ -28,6 +32,7 @@ WHOLE_KEYS = ["formkey", "?key", " h1", "gpg key", "sapagekey", "pubkey", "key_h
               "_type", "_addr", ".txt"]
 FORM_KEYS = ["hubspotformid", "hubspot_formid", "formid", "form_id", "hubspotportal", "portal", "hubspotpageid", "pageid"]
 JWT_TRACKING = ["org.tracking", "org.analytics", "tracking", "analytics", "org.sentry", "bugsnag", "rollbar", "datadog"]
+JWT_SCOPES = ["org.tracking", "org.analytics", "org.tracker", "tracking", "analytics", "client_id", "client_secret", "oauth", "scopes", "scope"]
 FILE_ENDINGS = [".js", ".py", ".java", ".go", ".json", ".yaml", ".xml", ".html", ".css", ".txt", ".md", ".png", ".jpg"]
 
 
@@ -89,21 +94,31 @@ def segment(word: str, costs: dict[str, float], longest: int) -> list[str]:
     return out[::-1]
 
 
-def _segmenter(words: list[str]):
-    costs = {w: math.log((k + 1) * math.log(len(words) + 2)) for k, w in enumerate(words)}
-    longest = max(map(len, words), default=1)
-    known = set(words)
+_ready: dict[int, tuple[dict[str, float], int]] = {}
+
+
+def _segmenter(words: list[str], known_only: bool = False):
+    """A UDF from a value to its tokens, or to those that are words; the ranked words are broadcast."""
+    from pyspark.sql import SparkSession
+
+    shared = SparkSession.active().sparkContext.broadcast(words)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(values: pd.Series) -> pd.Series:
+        key = id(shared.value)
+        if key not in _ready:
+            _ready.clear()
+            _ready[key] = ({w: math.log((k + 1) * math.log(len(shared.value) + 2)) for k, w in enumerate(shared.value)}, max(map(len, shared.value), default=1))
+        costs, longest = _ready[key]
+
         def one(value: str | None) -> list[str]:
             out: list[str] = []
             for token in filter(None, re.split(r"[._(){}\-#@$%^&*]", value or "")):
-                if token not in known and len(token) > 3:
+                if token not in costs and len(token) > 3:
                     out += [p for p in segment(token, costs, longest) if len(p) > 2]
                 else:
                     out.append(token)
-            return out
+            return [t for t in out if t.lower() in costs] if known_only else out
 
         return values.map(one)
 
@@ -122,33 +137,47 @@ def drop_words(hits: DataFrame, words: list[str], rules: tuple[Rule, ...] = CATA
     different ones; at any length words may be at most 35 % of the value. Words in
     the rule's own regex do not count.
     """
-    known = F.array(*[F.lit(w) for w in words])
     regex = F.lit("")
     for rule in rules:
         regex = F.when(F.col("rule_name") == rule.rule_name, F.lit(_exempt(rule).lower())).otherwise(regex)
-    told = word_tokens(hits, words).withColumn("__regex", regex)
-    told = told.withColumn("__found", F.filter("tokens", lambda t: F.array_contains(known, F.lower(t)) & ~F.contains(F.col("__regex"), F.lower(t))))
+    told = hits.withColumn("__regex", regex).withColumn("__found", _segmenter(words, known_only=True)(F.col("value")))
+    told = told.withColumn("__found", F.filter("__found", lambda t: ~F.contains(F.col("__regex"), F.lower(t))))
     long = F.size(F.filter(F.array_distinct("__found"), lambda t: F.length(t) > 4))
     weight = F.aggregate("__found", F.lit(0), lambda a, t: a + F.length(t))
     n = F.length("value")
     meaning = ((n <= 30) & (long >= 1)) | ((n > 30) & (n <= 60) & (long >= 2)) | (weight / n > 0.35)
-    return told.where((F.col("is_mechanical") == "human") | ~meaning).drop("tokens", "__regex", "__found")
+    return told.where((F.col("is_mechanical") == "human") | ~meaning).drop("__regex", "__found")
 
 
 def _key() -> Column:
     return F.regexp_replace(before(F.col("match"), F.col("value")), "[^a-zA-Z]*$", "")
 
 
-def key_filter(hits: DataFrame) -> DataFrame:
-    """The key-value filter: keys that name no secret, form ids, tracking tokens, placeholders. [F1-F7]"""
+def _harmless_token(payload: Column) -> Column:
+    """Whether a token's claims say that it only tracks: by a word anywhere, in its scopes or in its roles. [F2]"""
+    field = lambda n: F.get_json_object(payload, f"$.{n}")
+    unset = lambda c: c.isNull() | c.isin("", "0", "false", "[]", "{}")
+    scope = F.lower(F.when(~unset(field("scope")), field("scope")).otherwise(F.coalesce(field("scopes"), F.lit(""))))
+    roles = F.when(F.startswith(field("roles"), F.lit("[")), F.from_json(field("roles"), "array<string>"))
+    named = contains_any(F.lower(F.array_join(roles, " ")), JWT_SCOPES) | F.exists(roles, lambda r: F.startswith(r, F.lit("org.")))
+    return F.json_object_keys(payload).isNotNull() & (contains_any(F.lower(payload), JWT_TRACKING) | contains_any(scope, JWT_SCOPES) | F.coalesce(named, F.lit(False)))
+
+
+def key_filter(hits: DataFrame, learned: tuple[str, ...] = ()) -> DataFrame:
+    """The key-value filter: keys that name no secret, form ids, tracking tokens, placeholders. [F1-F7]
+
+    ``learned`` are further words that end the keys of harmless values, as read by
+    ``readers.suffixes``.
+    """
     lower, key = F.lower("rule_name"), _key()
     words = F.transform(F.filter(F.split(key, "[._-]"), lambda w: F.length(w) >= 2), lambda w: F.lower(F.rtrim(w)))
-    payload = F.try_to_binary(F.translate(F.split_part("value", F.lit("."), F.lit(2)), "-_", "+/"), F.lit("base64"))
-    tracking = F.contains(lower, F.lit("jwt")) & F.coalesce(contains_any(F.lower(F.try_validate_utf8(payload.cast("string"))), JWT_TRACKING), F.lit(False))
+    middle = F.translate(F.split_part("value", F.lit("."), F.lit(2)), "-_", "+/")
+    claims = F.try_validate_utf8(F.try_to_binary(F.concat(middle, F.repeat(F.lit("="), F.pmod(-F.length(middle), F.lit(4)))), F.lit("base64")).cast("string"))
+    tracking = F.contains(lower, F.lit("jwt")) & (F.size(F.split("value", r"\.", -1)) == 3) & F.coalesce(_harmless_token(claims), F.lit(False))
     form = F.contains(lower, F.lit("hubspot")) & F.exists(F.array(*[F.lit(x) for x in FORM_KEYS]), lambda p: F.startswith(
         F.regexp_replace(F.lower(before(F.col("match"), F.col("value"))), r'[\s_\-.:\\"]+', ""), F.regexp_replace(p, "_", "")))
     ending = F.exists(F.array(*[F.lit(x) for x in FILE_ENDINGS]), lambda e: F.endswith(key, e))
-    listed = F.arrays_overlap(words, F.array(*[F.lit(x) for x in [*KEY_LEFT, *KEY_RIGHT]])) | contains_any(F.lower(key), WHOLE_KEYS)
+    listed = F.arrays_overlap(words, F.array(*[F.lit(x.lower()) for x in [*KEY_LEFT, *KEY_RIGHT, *learned]])) | contains_any(F.lower(key), WHOLE_KEYS)
     keyed = F.col("need_keyvalue") & (F.col("match") != F.col("value"))
     bad_key = keyed & (ending | listed | contains_any(F.lower("value"), MACHINE_VALUES))
     plain = ~F.col("need_keyvalue") & (F.col("match") != F.col("value")) & ~F.rlike("rule_name", F.lit("password|Jdbc|Uri|jwt")) & ending
@@ -157,21 +186,25 @@ def key_filter(hits: DataFrame) -> DataFrame:
     return hits.where(~(tracking | form | bad_key | plain | human))
 
 
-def merge_similar(hits: DataFrame) -> DataFrame:
+def merge_similar(hits: DataFrame, width: int = BIN) -> DataFrame:
     """One of every two similar hits that touch in a file. [F18]
 
     Pairs are in ``ord`` order. Same value and start: a generic later one goes, else
     the earlier. Touching spans with similar values: a generic earlier one goes, else
-    the later. Pairs are met by start within touching distance, not all with all.
+    the later. Of two touching hits the one that starts later starts within the other
+    or at its end, so the join is by (file, bin of ``width`` offsets): the hits of one
+    huge file meet only near ones.
     """
-    a, b = hits.alias("a"), hits.alias("b")
-    touching = ((F.col("a.file") == F.col("b.file")) & (F.col("a.ord") < F.col("b.ord"))
-                & (F.col("a.index_start") <= F.col("b.index_end")) & (F.col("b.index_start") <= F.col("a.index_end")))
-    pairs = a.join(b, touching).select(F.col("a.file").alias("file"), F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.col("a.value").alias("x"), F.col("b.value").alias("y"),
-                                       (F.col("a.value").eqNullSafe(F.col("b.value")) & (F.col("a.index_start") == F.col("b.index_start"))).alias("same"),
-                                       F.contains("a.rule_name", F.lit("generic")).alias("gi"), F.contains("b.rule_name", F.lit("generic")).alias("gj"))
-    equal = pairs.where("same").select("file", F.when(F.col("gj"), F.col("j")).otherwise(F.col("i")).alias("ord"))
-    alike = pairs.where("NOT same").where(similar_udf("x", "y")).select("file", F.when(F.col("gi"), F.col("i")).otherwise(F.col("j")).alias("ord"))
+    points = hits.withColumn("__bin", F.floor(F.col("index_start") / width)).alias("p")
+    covers = hits.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("index_start") / width), F.floor(F.col("index_end") / width)))).alias("c")
+    earlier = (F.col("c.index_start") < F.col("p.index_start")) | ((F.col("c.index_start") == F.col("p.index_start")) & (F.col("c.ord") < F.col("p.ord")))
+    met = points.join(covers, (F.col("p.file") == F.col("c.file")) & (F.col("p.__bin") == F.col("c.__bin")) & earlier & (F.col("p.index_start") <= F.col("c.index_end")))
+    side = lambda a: F.struct(f"{a}.ord", f"{a}.value", f"{a}.index_start", F.contains(f"{a}.rule_name", F.lit("generic")).alias("generic"))
+    first, second = F.least(side("p"), side("c")).alias("i"), F.greatest(side("p"), side("c")).alias("j")
+    pairs = met.where(F.col("p.ord") != F.col("c.ord")).select(F.col("p.file").alias("file"), first, second)
+    same = F.col("i.value").eqNullSafe(F.col("j.value")) & (F.col("i.index_start") == F.col("j.index_start"))
+    equal = pairs.where(same).select("file", F.when(F.col("j.generic"), F.col("j.ord")).otherwise(F.col("i.ord")).alias("ord"))
+    alike = pairs.where(~same).where(similar_udf("i.value", "j.value")).select("file", F.when(F.col("i.generic"), F.col("i.ord")).otherwise(F.col("j.ord")).alias("ord"))
     return hits.join(equal.union(alike).distinct(), ["file", "ord"], "left_anti").select(*hits.columns)
 
 
@@ -196,10 +229,18 @@ def pattern_word_filter(hits: DataFrame, words: list[str], rules: tuple[Rule, ..
     return drop_words(drop_versions(drop_patterns(chunked_entropy(hits), rules)), words, rules)
 
 
-def ranked_words(texts: DataFrame, column: str, most: int = 5000) -> list[str]:
-    """The commonest words of a text column, by count, then name: a dictionary of documented size."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
-    return [r.word for r in words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(most).collect()]
+def ranked_words(texts: DataFrame, column: str, least: int = 1) -> list[str]:
+    """All words that ``least`` texts or more hold, by that number, then name: the corpus as its own dictionary.
+
+    The list goes to the driver and to every worker, so its size is checked: more than
+    MAX_WORDS words are an error that asks for a greater ``least``, never a cut.
+    """
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    rows = counted.orderBy(F.col("n").desc(), "word").limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words; ask for words of more than {least} texts")
+    return [r.word for r in rows]
 
 
 def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:

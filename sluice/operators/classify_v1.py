@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import before, contains_any, entropy, snake_case
+from sluice.functions.text import before, contains_any, entropy, plain_text, snake_case
 from sluice.operators.cascade import CRITICAL, NOISE, PENDING, POTENTIAL, Decision, decide
 from sluice.operators.vector import embed, hash_embed, nearest
 from sluice.staging import stage
@@ -66,12 +66,27 @@ ISSUERS = ["auth0", "okta", "google", "facebook", "amazon", "microsoft", "apple"
 RIGHTS = [r"\badmin\b", r"\bwrite\b.*\bwrite\b", r"\bdelete\b", r"\bmanage\b", r"\bowner\b", r"\bsuperuser\b"]
 #: Two patterns that look like slips of the pen; only in strict mode.
 STRICT_RIGHTS = [r"\broad\b", r"\b privileged\b"]
+CLAIMS = ["iss", "sub", "aud", "scope", "permissions", "role", "admin"]
 SENSITIVE = ["pwd", "password", "secret", "private", "key", "token"]
 
 
+def _decoded(text: Column) -> Column:
+    """Escapes and entities decoded; only texts that hold any go to Python. [R1]"""
+    return F.when(F.rlike(text, F.lit(r"[\\%&]")), plain_text(text)).otherwise(text)
+
+
+def _claims(payload: Column) -> Column:
+    """The names and values (50 characters of each) of the claims that say whose token it is. [R4]"""
+    def one(name: str) -> Column:
+        value = F.get_json_object(payload, f"$.{name}")
+        return F.when(value.isin("", "0", "false", "[]", "{}"), name).when(value.isNotNull(), F.concat(F.lit(f"{name} "), F.left(value, F.lit(50))))
+
+    return F.concat_ws(" ", *[one(n) for n in CLAIMS])
+
+
 def variable_from_match() -> Column:
     """The last identifier before the value that is no stop token. [R3]"""
-    tokens = F.reverse(F.regexp_extract_all(before(F.col("match"), F.col("value")), F.lit("[A-Za-z_][A-Za-z0-9_.-]{0,63}"), F.lit(0)))
+    tokens = F.reverse(F.regexp_extract_all(_decoded(before(F.col("match"), F.col("value"))), F.lit("[A-Za-z_][A-Za-z0-9_.-]{0,63}"), F.lit(0)))
     usable = F.filter(F.transform(tokens, snake_case), lambda t: (F.length(t) > 0) & ~t.isin(STOP_TOKENS))
     return F.coalesce(F.get(usable, 0), F.lit(""))
 
@@ -143,8 +158,9 @@ def classify(hits: DataFrame, now: int = 0, strict: bool = False) -> DataFrame:
     raw = F.translate(F.get(F.split("value", r"\.", -1), 1), "-_", "+/")
     padded = F.concat(raw, F.repeat(F.lit("="), F.pmod(-F.length(raw), F.lit(4))))
     payload = F.when(jwt & F.startswith("value", F.lit("eyJ")), F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")))
-    given = F.col("prefix") if "prefix" in hits.columns else F.lit(None).cast("string")
-    var = F.when((F.col("series") == "generic") & (F.length(given) > 0), snake_case(given)).when(F.col("series") == "generic", variable_from_match()).when(jwt, F.substr("value", F.lit(1), F.lit(50))).otherwise("")
+    given = _decoded(F.col("prefix")) if "prefix" in hits.columns else F.lit(None).cast("string")
+    told = F.when(F.json_object_keys(payload).isNotNull() & (F.size(F.json_object_keys(payload)) > 0), _claims(payload))
+    var = F.when((F.col("series") == "generic") & (F.length(given) > 0), snake_case(given)).when(F.col("series") == "generic", variable_from_match()).when(jwt, F.coalesce(told, F.substr("value", F.lit(1), F.lit(50)))).otherwise("")
     ready = hits.withColumns({"_jwt": jwt, "_payload": payload, "_var1": F.coalesce(var, F.lit(""))})
     made = ready.withColumn("_d", decide(decisions(now, strict)))
     return made.select(*hits.columns, F.col("_d.risk").alias("risk_label"), F.col("_d.code").alias("risk_reason"), F.col("_var1").alias("var_name"))

