@@ -2,17 +2,26 @@
 
 Words are maximal runs of anything but the six ASCII white-space characters. Each
 document is measured once; rule failures are summed by host (partial sums before
-the shuffle, so a hot host is a handful of rows), host rates are shrunk towards an
-empirical beta prior fitted over all hosts, and the hosts whose shrunken rate is
-over ``max_host_rate`` lose those of their documents that fail a soft rule.
+the shuffle, so a hot host is a handful of rows), and host rates are shrunk towards
+an empirical beta prior fitted over all hosts. A host is rejected if its failure
+rate is, with a probability of ``confidence``, above the prior's mean; it then loses
+those of its documents that fail a soft rule. Elsewhere such documents stay.
+
+The prior's mean is the rate over all documents. Its variance is that of the hosts'
+rates less what their sizes alone explain; the prior weighs as many documents as
+that variance says, at least one and at most MAX_PRIOR_DOCS, so that a large host
+is judged by its own record even where hosts hardly differ.
 
 Defined cases: null text has no words, lines or symbols and fails the base rules;
-a null host gets no host verdict; rows are judged one by one, repeated or not; an
-empty table gives an empty one. Measures replace input columns of their names.
+a null host gets no host verdict; rows are judged one by one, repeated or not; texts
+of any length are measured whole; measures and verdicts replace input columns of
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +37,9 @@ MAX_REPEAT_PERCENT = 30
 MAX_SYMBOLS_A_WORD = 0.1
 MAX_DUP_LINES_A_WORD = 0.1
 WORD_LENGTHS = (2.0, 12.0)
-MAX_HOST_RATE = 0.5
+#: Probability that a rejected host's rate is above the mean, and the normal deviate that stands for it.
+CONFIDENCE = 0.8
+MAX_PRIOR_DOCS = 100
 #: Up to so many rejected hosts are broadcast; more are joined with salted keys.
 MAX_BROADCAST_HOSTS = 200_000
 SALTS = 64
@@ -84,27 +95,32 @@ def soft_failed() -> Column:
                       | (length < WORD_LENGTHS[0]) | (length > WORD_LENGTHS[1]), F.lit(False))
 
 
-def host_rates(measured: DataFrame, host_col: str) -> DataFrame:
-    """Documents, failures and shrunken failure rate of each host that is not null.
+def prior(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and weight, in documents, of the beta prior over the rates of (n_docs, n_failed) hosts."""
+    rate = F.col("n_failed") / F.col("n_docs")
+    failed, docs, mean_rate, square, inverse = hosts.agg(F.sum("n_failed"), F.sum("n_docs"), F.avg(rate), F.avg(rate * rate), F.avg(1 / F.col("n_docs"))).first()
+    mean = failed / docs if docs else 0.0
+    spread = mean * (1 - mean)
+    variance = square - 2 * mean * mean_rate + mean * mean - spread * inverse if docs else 0.0
+    weight = spread / variance - 1 if variance > 0 else MAX_PRIOR_DOCS
+    return mean, min(max(weight, 1.0), float(MAX_PRIOR_DOCS))
 
-    The prior is the beta distribution with the mean and variance of the hosts'
-    own rates; a variance of zero, or one no beta has, gives a prior of one document.
-    """
+
+def host_rates(measured: DataFrame, host_col: str, confidence: float = CONFIDENCE) -> DataFrame:
+    """Documents, failures, shrunken failure rate and verdict of each host that is not null."""
     failed = (F.col("base_failed") | soft_failed()).cast("long")
     hosts = stage(measured.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("__host"))
                   .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed).alias("n_failed")), "hosts")
-    rate = F.col("n_failed") / F.col("n_docs")
-    mean, var = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    mean, var = mean or 0.0, var or 0.0
-    weight = mean * (1 - mean) / var - 1 if var > 0 else 0.0
-    weight = max(weight, 1.0)
-    return hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight)))
+    mean, weight = prior(hosts)
+    rated = hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight)))
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n_docs") + F.lit(weight + 1)))
+    return rated.withColumn("rejected", F.col("host_rate") - F.lit(NormalDist().inv_cdf(confidence)) * deviation > F.lit(mean))
 
 
-def judge(measured: DataFrame, host_col: str = "source", max_host_rate: float = MAX_HOST_RATE,
+def judge(measured: DataFrame, host_col: str = "source", confidence: float = CONFIDENCE,
           max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
     """A measured table (staged, as it is read twice) with ``kept``."""
-    bad = host_rates(measured, host_col).where(F.col("host_rate") > max_host_rate).select("__host", F.lit(True).alias("__bad"))
+    bad = host_rates(measured, host_col, confidence).where("rejected").select("__host", F.lit(True).alias("__bad"))
     if bad.limit(max_broadcast + 1).count() <= max_broadcast:
         joined = measured.join(F.broadcast(bad), measured[host_col] == bad["__host"], "left")
     else:
@@ -116,10 +132,10 @@ def judge(measured: DataFrame, host_col: str = "source", max_host_rate: float =
 
 
 def apply_rules(df: DataFrame, text_col: str = "text", host_col: str = "source", carry: list[str] | None = None,
-                max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+                confidence: float = CONFIDENCE) -> DataFrame:
     """Measures and verdict of every row, with the columns ``carry`` (all by default)."""
     keep = [c for c in (df.columns if carry is None else carry) if c not in (*MEASURES, "base_failed", "kept")]
     host = "__of" if host_col not in keep else host_col
     measured = measure(df.withColumn(host, F.col(host_col)) if host == "__of" else df, text_col)
     staged = stage(measured.select(*keep, *([host] if host not in keep else []), *MEASURES, "base_failed"), "measures")
-    return judge(staged, host, max_host_rate).select(*keep, *MEASURES, "base_failed", "kept")
+    return judge(staged, host, confidence).select(*keep, *MEASURES, "base_failed", "kept")

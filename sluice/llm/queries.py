@@ -48,10 +48,11 @@ FROM r
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stage(pii.candidates(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"), "pii")
     spans = pii.accept(found, pii.fit(found))
-    base = {k: F.filter(f"c_{k}", lambda x: x["base"]) for k in pii.KINDS}
+    base = {k: F.filter(f"c_{k}", lambda x: x["base"]) for k in pii.BASE_KINDS}
+    every = sum((F.size(f"c_{k}") for k in pii.KINDS[1:]), F.size(f"c_{pii.KINDS[0]}"))
     return spans.select(
-        "doc_id", *[F.size(base[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS],
-        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed({k: F.col(f"c_{k}") for k in pii.KINDS}).alias("spans"))
+        "doc_id", *[F.size(base[k]).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed({k: F.col(f"c_{k}") for k in pii.KINDS}).alias("spans"), every.cast("long").alias("n_spans"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +88,11 @@ f AS (
            OR (n_words > 0 AND (word_chars < 2.0 * n_words OR word_chars > 12.0 * n_words)), false) AS soft
   FROM m),
 h AS (SELECT source, count(*) AS n, sum((base_failed OR soft)::INT)::DOUBLE AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS var FROM h),
-k AS (SELECT mean, greatest(1.0, CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 0 END) AS weight FROM p),
-v AS (SELECT source, (bad + mean * weight) / (n + weight) > 0.5 AS rejected FROM h, k)
+p AS (SELECT sum(bad) / sum(n) AS mean, avg(bad / n) AS rate, avg((bad / n) * (bad / n)) AS square, avg(1.0 / n) AS inverse FROM h),
+w AS (SELECT mean, square - 2 * mean * rate + mean * mean - mean * (1 - mean) * inverse AS var FROM p),
+k AS (SELECT mean, least(100.0, greatest(1.0, CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 100.0 END)) AS weight FROM w),
+r AS (SELECT source, mean, n + weight AS size, (bad + mean * weight) / (n + weight) AS rate FROM h, k),
+v AS (SELECT source, rate - 0.8416212335729143 * sqrt(rate * (1 - rate) / (size + 1)) > mean AS rejected FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR (coalesce(rejected, false) AND soft)) AS kept
 FROM f LEFT JOIN v USING (source)
