@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluice.llm import components, decon, neardup, shingles, suffix
@@ -95,6 +96,36 @@ def test_sketches_estimate():
         assert difference <= 2 * (1000 - kept)  # never over the symmetric difference
 
 
+def test_recall_at_the_threshold():
+    """Pairs at a similarity of exactly 0.75: all share a band, and no sketch or parity rule parts them."""
+    rng = np.random.default_rng(16)
+    xs, ys = [], []
+    for _ in range(4000):
+        u = int(rng.choice([2, 5, 25, 100, 400]))
+        some = rng.integers(0, 2**63, 4 * u).astype(np.uint64)
+        cut = 3 * u + int(rng.integers(0, u + 1))
+        xs.append(np.unique(some[:cut]))
+        ys.append(np.unique(np.concatenate((some[:3 * u], some[cut:]))))
+    a, b = neardup.minhashes(xs), neardup.minhashes(ys)
+    assert (neardup.bands(a) == neardup.bands(b)).any(1).all()
+    differ = np.bitwise_count(neardup.odd_sketches(a) ^ neardup.odd_sketches(b)).sum(1)
+    assert differ.max() <= neardup.FAR and 35 < differ.mean() < 45
+    for x, y in zip(xs[:300], ys[:300]):
+        off = int(np.bitwise_count((neardup.parities(x) ^ neardup.parities(y)).view(np.uint64)).sum())
+        assert 7 * off <= len(x) + len(y)
+
+
+def test_near_duplicates_odd_rows(spark):
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(1, long, "c", True), (2, long + " tail", "c", True), (None, long, "c", True), (3, None, "c", True), (4, "", "c", True), (5, "a b", "c", True), (6, "A  b", "c", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string, kept boolean")
+    got = neardup.group(df)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == {
+        1: (59_996, 1, True), 2: (59_997, 1, False), None: (59_996, None, True), 3: (0, 3, True), 4: (0, 4, True), 5: (1, 5, True), 6: (1, 5, False)}
+    assert neardup.deduplicate(df).columns == df.columns
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
@@ -250,26 +281,65 @@ def test_contamination_with_repeated_shingles(spark):
     assert {(r.doc_id, r.item_id): (r.n_common, r.start_word, r.similarity) for r in decon.find(d, b).collect()} == want
 
 
-def test_hamming_blocks_cover_the_radius():
+def test_hamming_blocks_cover_the_radius(spark):
     rng = random.Random(10)
-    assert sum(n for _, n in decon.BLOCKS) == 64 and len(decon.BLOCKS) == decon.RADIUS + 1
-    for _ in range(500):
-        x = rng.getrandbits(64)
-        y = x
-        for bit in rng.sample(range(64), decon.RADIUS):
-            y ^= 1 << bit
-        assert any((x >> s) & ((1 << n) - 1) == (y >> s) & ((1 << n) - 1) for s, n in decon.BLOCKS)
+    rows = []
+    for k in range(200):
+        x = [rng.getrandbits(64) for _ in range(decon.LONGS)]
+        y = list(x)
+        for bit in rng.sample(range(64 * decon.LONGS), decon.BLOCKS - 1):
+            y[bit // 64] ^= 1 << bit % 64
+        rows.append((k, [v - 2**64 * (v >> 63) for v in x], [v - 2**64 * (v >> 63) for v in y]))
+    df = spark.createDataFrame(rows, "k int, x array<long>, y array<long>")
+    same = F.arrays_overlap(decon.blocks_column(F.col("x")), decon.blocks_column(F.col("y")))
+    assert df.where(same & (decon.distance_column(F.col("x"), F.col("y")) == decon.BLOCKS - 1)).count() == 200
+
+
+def test_fingerprints_at_the_threshold_and_of_strangers(spark):
+    """Recall at a similarity of exactly 0.75, and how many unrelated pairs the blocks and the radius leave."""
+    rng = random.Random(14)
+    fresh = lambda n: [rng.getrandbits(64) - 2**63 for _ in range(n)]
+    rows = []
+    for k in range(3000):
+        u = rng.choice([4, 8, 12, 20])
+        common, rest = fresh(3 * u), fresh(u)
+        cut = rng.randint(0, u)
+        rows.append((k, common + rest[:cut], common + rest[cut:], fresh(4 * u)))
+    df = spark.createDataFrame(rows, "k int, x array<long>, y array<long>, z array<long>").select(*[decon.fingerprint_column(F.col(c)).alias(c) for c in "xyz"])
+    meet = lambda a, b: F.arrays_overlap(decon.blocks_column(F.col(a)), decon.blocks_column(F.col(b)))
+    near = lambda a, b: decon.distance_column(F.col(a), F.col(b)) <= decon.RADIUS
+    r = df.agg(F.count_if(meet("x", "y")).alias("met"), F.count_if(near("x", "y")).alias("near"), F.count_if(meet("x", "z")).alias("chance"), F.count_if(near("x", "z")).alias("far")).first()
+    assert r.met >= 2999 and r.near >= 2999
+    assert r.chance < 0.25 * 3000 and r.far == 0
+
+
+def test_numbered_sets(spark):
+    rng = random.Random(15)
+    rows = [(k, [rng.randrange(6) for _ in range(rng.randint(0, 30))], [rng.randrange(6) for _ in range(rng.randint(0, 30))]) for k in range(200)] + [(200, [], []), (201, [7] * 50, [7] * 20)]
+    df = spark.createDataFrame(rows, "k int, x array<long>, y array<long>")
+    x = decon.numbered(df.select("k", F.col("x").alias("s"))).withColumnRenamed("s", "x")
+    y = decon.numbered(df.select("k", F.col("y").alias("s"))).withColumnRenamed("s", "y")
+    got = {r.k: (r.n, r.a) for r in x.join(y, "k").select("k", F.size(F.array_intersect("x", "y")).alias("n"), F.size("x").alias("a")).collect()}
+    assert got == {k: (sum((Counter(a) & Counter(b)).values()), len(a)) for k, a, b in rows}
+
+
+def test_contamination_odd_rows(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"x {item} y", 9), (1, f"x {item} y", 9), (None, item, 9), (2, None, 9), (3, "q " * 30_000 + item, 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    b = spark.createDataFrame([(5, item), (6, item), (7, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in decon.find(d, b).collect()) == [(1, 5, 1.0), (1, 6, 1.0), (3, 5, 1.0), (3, 6, 1.0)]
+    left = decon.decontaminate(d, b)
+    assert left.columns == d.columns and [r.doc_id for r in left.collect()] == [None, 2] or sorted(str(r.doc_id) for r in left.collect()) == ["2", "None"]
 
 
 def test_simhash(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(11)
     some = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 7, 40)]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(some)], "k int, v array<long>")
     got = {r.k: r.f for r in df.select("k", decon.simhash_column(F.col("v")).alias("f")).collect()}
     for k, v in enumerate(some):
-        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in v) > len(v))
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in v) + (min(v) >> b & 1) > len(v))
         assert got[k] % 2**64 == want
 
 

@@ -98,5 +98,37 @@ def test_host_verdicts(spark, bound):
     assert got == {("bad", noisy[:5]): False, ("bad", clean[:5]): True, ("good", clean[:5]): True, ("good", noisy[:5]): True, (None, clean[:5]): True, (None, noisy[:5]): True, ("bad", "short"): False}
 
 
+def verdicts(rows):
+    """(host, failed) by the stated rule."""
+    import math
+    from statistics import NormalDist
+
+    hosts = {}
+    for host, bad in rows:
+        if host is not None:
+            n, f = hosts.get(host, (0, 0))
+            hosts[host] = (n + 1, f + bad)
+    mean = sum(f for _, f in hosts.values()) / sum(n for n, _ in hosts.values())
+    spread = mean * (1 - mean)
+    variance = sum((f / n - mean) ** 2 for n, f in hosts.values()) / len(hosts) - sum(spread / n for n, _ in hosts.values()) / len(hosts)
+    weight = min(100.0, max(1.0, spread / variance - 1 if variance > 0 else 100.0))
+    out = set()
+    for host, (n, f) in hosts.items():
+        rate = (f + mean * weight) / (n + weight)
+        if rate - NormalDist().inv_cdf(0.8) * math.sqrt(rate * (1 - rate) / (n + weight + 1)) > mean:
+            out.add(host)
+    return out
+
+
+def test_host_verdicts_on_the_given_tables(spark):
+    """Hosts are rejected by the fitted prior, and lose documents that pass the base rules."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    made = quality.apply_rules(docs, carry=["doc_id", "source", "text"]).withColumn("soft", quality.soft_failed()).collect()
+    bad = verdicts([(r.source, r.base_failed or r.soft) for r in made])
+    assert {r.doc_id for r in made if r.kept} == {r.doc_id for r in made if not r.base_failed and not (r.soft and r.source in bad)}
+    lost = [r for r in made if not r.kept and not r.base_failed]
+    assert bad and len(bad) < 10 and lost and all(r.soft for r in lost)
+
+
 def test_quality_empty(spark):
     assert quality.apply_rules(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
