@@ -255,7 +255,7 @@ def post_process() -> Column:
     ])
 
 
-def settled(done: DataFrame, embedder: Callable[[pd.Series], pd.Series] = hash_embed) -> DataFrame:
+def base_of_settled(done: DataFrame, embedder: Callable[[pd.Series], pd.Series] = hash_embed) -> DataFrame:
     """A knowledge base of the settled rows of a classified, prepared frame: one entry a text, in the words that a base uses."""
     known = embedding_text(done.where(F.col("risk") != PENDING))
     level = F.when(F.col("risk") == CRITICAL, "critical").when(F.col("risk") == NOISE, "falsepositive").otherwise("potentialrisk")
@@ -273,7 +273,7 @@ def classify_with_kb(hits: DataFrame, kb: DataFrame | None = None, now: int = 0,
     done = stage(v2.classify(hits, now, keep_prepared=True).drop("_refined", "_main"), "classified")
     settled = done.where(F.col("risk") != PENDING).withColumns({"kb_id": F.lit(None).cast("string"), "score": F.lit(-1.0)})
     pending = embedding_text(done.where(F.col("risk") == PENDING))
-    kb = settled(done, embedder) if kb is None else kb
+    kb = base_of_settled(done, embedder) if kb is None else kb
     found = nearest(embed(pending, "embedding_text", "vector", embedder), kb).withColumn("_post", post_process())
     resolved = found.withColumns({"risk": F.col("_post.risk"), "reason_code": F.col("_post.code")})
     columns = [*hits.columns, "risk", "reason_code", "variable", "kb_id", "score"]
