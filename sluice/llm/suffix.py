@@ -20,11 +20,16 @@ Suffixes are sharded, and thinned without loss, by minimizer anchors (see
    that share an anchor with a different context have their suffixes indexed;
 3. batches mark the matches of their contexts and cut the texts.
 
-Texts are shuffled twice, zstd-compressed. All matches are confirmed on bytes.
+Texts are shuffled twice, zstd-compressed. All matches are confirmed on bytes. The
+driver holds KNOTS quantiles of the ids at most, between which batches are equal
+ranges of ids; the number of batches and of shards has no bound. The levels live as
+long as a call: a later run over new documents is given the earlier ones again.
 
 Defined cases: null text is empty; rows with a null id neither lose bytes nor count
-as earlier; rows with equal ids do not affect each other; kept bytes may end or
-start inside a character, so they are binary; an empty table gives an empty one.
+as earlier; rows with equal ids do not affect each other; a text longer than a batch
+is a batch of its own or part of a larger one, read whole; kept bytes may end or
+start inside a character, so they are binary; the result has the four columns named
+below only, whatever else the input has; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,6 +51,8 @@ from sluice.staging import stage
 BATCH_BYTES, SHARD = 6 << 20, 2
 #: Bytes hashed together, and anchors gathered before they are sent.
 CHUNK_BYTES, GATHER = 1 << 19, 1 << 19
+#: Quantiles of the ids that the driver holds at most.
+KNOTS = 4096
 EARLIER = np.iinfo(np.int64).min
 _KEY_BITS = np.uint64(44)
 
@@ -110,9 +117,30 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             first, held = k + 1, 0
 
 
+class Ranges:
+    """Batches as ranges of ascending id: ``per`` equal ones between two knots."""
+
+    def __init__(self, knots: list[int], per: int, least: int, most: int):
+        self._knots, self._per = knots, per
+        self._edges = [least, *knots, most + 1]
+
+    def of(self, id_: int) -> int:
+        at = bisect_right(self._knots, id_)
+        low, high = self._edges[at], self._edges[at + 1]
+        return at * self._per + (min(self._per - 1, max(0, id_ - low) * self._per // max(1, high - low)) if self._per > 1 else 0)
+
+
+def ranges_of(docs: DataFrame, batches: int, knots: int = KNOTS) -> Ranges:
+    """``batches`` ranges of about equal numbers of rows (more, if that is needed to have as many between all knots)."""
+    n = min(batches, knots)
+    cuts = [F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("cuts")] if n > 1 else []
+    found = docs.agg(F.min("id").alias("least"), F.max("id").alias("most"), *cuts).first()
+    return Ranges(sorted(set(found["cuts"] or [])) if n > 1 else [], -(-batches // n), found["least"] or 0, found["most"] or 0)
+
+
 def _shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each hash, by its top bits, and the rest of it."""
-    return ((hashes >> _KEY_BITS) * np.uint64(shards) >> np.uint64(20)).astype(np.int64), hashes & ((np.uint64(1) << _KEY_BITS) - np.uint64(1))
+    """The shard of each hash, by its top 32 bits, and a key of its lowest 44."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64), hashes & ((np.uint64(1) << _KEY_BITS) - np.uint64(1))
 
 
 def _by_shard(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -123,7 +151,7 @@ def _by_shard(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.nd
             yield int(sorted_[a]), order[a:b]
 
 
-def _send_anchors(docs: DataFrame, bounds: list[int], shards: int) -> DataFrame:
+def _send_anchors(docs: DataFrame, ranges: Ranges, shards: int) -> DataFrame:
     """(shard, blob): the distinct (key, batch) of the anchors, and whether several documents have one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +176,7 @@ def _send_anchors(docs: DataFrame, bounds: list[int], shards: int) -> DataFrame:
                 doc, _, _, _, hashes = anchors(buffer, begins)
                 if not len(doc):
                     continue
-                of = np.array([bisect_right(bounds, i) for i in ids[first:first + len(begins) - 1]], np.int64)
+                of = np.array([ranges.of(i) for i in ids[first:first + len(begins) - 1]], np.int64)
                 order = np.lexsort((doc, hashes))
                 doc, hashes = doc[order], hashes[order]
                 once = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]))))
@@ -179,14 +207,14 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array([b for b, _ in rows], pa.int64()), "shard": pa.array([shard] * len(rows), pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
 
-def _zipped(docs: DataFrame, bounds: list[int]) -> DataFrame:
+def _zipped(docs: DataFrame, ranges: Ranges) -> DataFrame:
     """(batch, id, z) with the texts' bytes compressed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(3).compress
         for rows in batches:
             ids = rows.column("id")
-            of = [bisect_right(bounds, i) for i in ids.to_pylist()]
+            of = [ranges.of(i) for i in ids.to_pylist()]
             z = [squeeze(t.encode() if t else b"") for t in rows.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), ids, pa.array(z, pa.binary())], ["batch", "id", "z"])
 
@@ -361,22 +389,18 @@ def _cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
                      "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, knots: int = KNOTS) -> DataFrame:
     """(id_col, n_bytes, spans, kept): each row's size, removed byte ranges (maximal) and remaining bytes."""
     bound_batches(df.sparkSession)
     every = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = every.where("id IS NOT NULL")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
-    shards = min(-(-batches // SHARD), 1 << 20)
-    bounds: list[int] = []
-    if batches > 1:
-        cuts = [i / batches for i in range(1, batches)]
-        found = docs.agg(F.percentile_approx("id", cuts, max(10_000, 20 * batches))).first()[0]
-        bounds = sorted(set(found))  # batch b: ids from bounds[b - 1] up to but not including bounds[b]
-    anchored = _send_anchors(docs, bounds, shards)
+    shards = -(-batches // SHARD)
+    ranges = ranges_of(docs, batches, knots)
+    anchored = _send_anchors(docs, ranges, shards)
     common = stage(anchored.groupBy("shard").applyInArrow(_shared, "batch long, shard long, blob binary"), "common", sweep=True)
-    zipped = _zipped(docs, bounds)
+    zipped = _zipped(docs, ranges)
     contexts = stage(zipped.groupBy("batch").cogroup(common.groupBy("batch")).applyInArrow(_contexts(shards), "shard long, batch long, blob binary, text binary"), "contexts", sweep=True)
     matches = contexts.where("shard >= 0").groupBy("shard").applyInArrow(_match, "batch long, blob binary")
     marks = stage(matches.select("batch", F.lit(0).cast("long").alias("shard"), "blob").union(contexts.where("shard < 0").select("batch", "shard", "blob")), "marks", sweep=True)

@@ -154,8 +154,8 @@ def repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("batch", [2_000, 1 << 20])
-def test_repeated_strings(spark, batch):
+@pytest.mark.parametrize(("batch", "knots"), [(2_000, 4096), (500, 3), (1 << 20, 4096)])
+def test_repeated_strings(spark, batch, knots):
     rng = random.Random(7)
     passage = "".join(rng.choice("abé ") for _ in range(180))
     rows = []
@@ -166,7 +166,7 @@ def test_repeated_strings(spark, batch):
     rows += [(500, "z" * 4000), (501, "z" * 200), (502, None), (503, "\0" * 60), (504, "\0" * 120)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in suffix.remove_repeats(df, batch_bytes=batch).collect()}
+    got = {r.doc_id: r for r in suffix.remove_repeats(df, batch_bytes=batch, knots=knots).collect()}
     want = repeats(rows)
     assert {i: bytes(r.kept) for i, r in got.items()} == want
     for i, t in rows:
@@ -174,6 +174,24 @@ def test_repeated_strings(spark, batch):
         assert sum(s.end - s.start for s in got[i].spans) == len(b) - len(want[i]) and got[i].n_bytes == len(b)
 
 
+def test_ranges_ascend():
+    rng = random.Random(18)
+    ids = sorted(rng.randint(-10**9, 10**12) for _ in range(500))
+    for per in (1, 7):
+        ranges = suffix.Ranges(ids[50:-50:100], per, ids[0], ids[-1])
+        of = [ranges.of(i) for i in ids]
+        assert of == sorted(of) and of[0] == 0 and max(of) < 5 * per
+
+
+def test_repeated_strings_clashing_columns_and_long_texts(spark):
+    rng = random.Random(19)
+    long = "".join(rng.choice("abcdefghijklmnop ") for _ in range(7 << 20))
+    rows = [(1, long, "s", b"k"), (2, "x" + long[100:400] + "y", "s", b"k"), (3, None, "s", b"k")]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, spans string, kept binary"))
+    assert got.columns == ["doc_id", "n_bytes", "spans", "kept"]
+    assert {r.doc_id: (r.n_bytes, bytes(r.kept)) for r in got.collect()} == {1: (7 << 20, long.encode()), 2: (302, b"xy"), 3: (0, b"")}
+
+
 def test_repeated_strings_odd_rows(spark):
     long = "q" * 30 + "0123456789" * 9
     df = spark.createDataFrame([(None, long), (None, long), (1, long), (1, long), (2, long)], "doc_id long, text string")
