@@ -1,4 +1,8 @@
-"""Arrow mapping with bounded batches, for the operators that run Python on executors."""
+"""Arrow mapping with bounded batches, for the operators that run Python on executors.
+
+A batch has BATCH_ROWS rows and about BATCH_BYTES bytes at most, but one row at least:
+a text of any length goes whole. Nulls are passed on as None.
+"""
 
 from __future__ import annotations
 

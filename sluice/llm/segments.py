@@ -3,7 +3,8 @@
 A byte-level pre-tokenizer with the pattern ``'s|... ?\\p{L}+ ... \\s+(?!\\S)|\\s+``
 always breaks before a space whose neighbours are not white space, so a text can
 be cut at its single spaces, each piece encoded once, and the results joined.
-Texts in which a space touches other white space are encoded as one piece.
+Texts in which a space touches other white space are encoded as one piece. A null text
+counts as empty.
 """
 
 from __future__ import annotations

@@ -1,6 +1,8 @@
 """Token ids by the tokenizers library, with a bounded cache over space-delimited pieces.
 
-Null text counts as empty. Special tokens' strings in a text are ordinary text.
+Defined cases: null text counts as empty; special tokens' strings in a text are ordinary
+text; a text of any length is encoded whole; rows are encoded one by one, repeated or not;
+input columns named like the output are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -14,8 +14,12 @@ vocabularies of that kind have none (it is checked), the lattice falls apart bef
 every mark that follows another character, and each distinct piece of text is counted
 once and remembered within a bound.
 
+Scores come with the vocabulary. Of a model whose scores are merge ranks the counts are
+those of the best lattice path under these ranks, not of its own merge order.
+
 Defined cases: null and empty text count 0; runs of spaces are kept; any length of
-text is counted whole; input columns named like the output are replaced.
+text is counted whole; rows are counted one by one, repeated or not; input columns named
+like the output are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Up to so many rules are broadcast as a trie; more are joined by host.
-MAX_BROADCAST_RULES = 1_000_000
+#: Up to so many rules (some hundred MB of trie) are broadcast; more are joined by host.
+MAX_BROADCAST_RULES = 200_000
+#: Parts that the places of a host like ``com`` are dealt to in that join.
+SALTS = 32
 
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -118,13 +120,14 @@ def _by_trie(spark: SparkSession, df: DataFrame, rules: list[tuple[str, str]], u
 
 
 def _by_join(spark: SparkSession, df: DataFrame, rules: list[tuple[str, str]], url_col: str, default: str) -> DataFrame:
-    """For rule lists past the bound: rules grouped by host, joined to the distinct hosts and paths of the urls."""
+    """For rule lists past the bound: rules by host and salt, joined to the distinct hosts and paths of the urls."""
     listed = spark.createDataFrame([(v, r, r.partition("/")[0], "".join(r.partition("/")[1:])) for v, r in rules], "v string, rule string, rule_host string, rule_path string")
+    listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     keyed = df.withColumn("__host", host_column(F.col(url_col))).withColumn("__path", path_column(F.col(url_col)))
     labels = F.split("__host", r"\.")
-    places = keyed.select("__host", "__path").distinct().withColumn(
+    places = keyed.select("__host", "__path").distinct().withColumn("salt", F.pmod(F.xxhash64("__host", "__path"), F.lit(SALTS))).withColumn(
         "rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    best = (places.join(listed, "rule_host").where(F.startswith("__path", "rule_path"))
+    best = (places.join(listed, ["rule_host", "salt"]).where(F.startswith("__path", "rule_path"))
             .groupBy("__host", "__path")
             .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("v") == "block").alias("b"), "rule", "v")).alias("hit")))
     joined = keyed.join(best, ["__host", "__path"], "left")
