@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir), where docs are all rows that the stage b
 kept, and returns rows with the columns of ``documents``; the last returns tokens.
 ``run`` applies the stages in order and writes each result to the shared folder, so
 that lineage stays short and a lost executor repeats only its own tasks.
+
+Defined cases: a null or empty text has no words and goes in the first stage; rows with
+a null id pass the second and third stage and are encoded; a row repeated whole stays
+once; further columns pass through up to the last stage; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -55,7 +59,7 @@ STAGES = [
     ("byte_bpe", token_ids),
 ]
 
-#: SQL has no near-duplicate components or merges; tests hold run() against brute force.
+#: SQL has no near-duplicate components or merges; tests/llm/test_queries.py holds run() against brute force.
 ORACLE_SQL = None
 
 
