@@ -69,7 +69,13 @@ def value_of(match: re.Match, groups: int, series: str) -> str | None:
     return match.group(2) if value is not None and series == "generic" and groups >= 2 else value
 
 
-def matches(text: str, rules, most: int | None = None) -> Iterator[tuple]:
+def old_value_of(match: re.Match, groups: int, series: str) -> str | None:
+    """The oldest way: the only group if there is one, else the whole match; private ones of 100 characters at least. [D4]"""
+    value = match.group(1 if groups == 1 else 0)
+    return None if value is not None and series == "private" and len(value) < 100 else value
+
+
+def matches(text: str, rules, most: int | None = None, value_of=value_of) -> Iterator[tuple]:
     """(rule number, value, match, start, end, entropy, lines and columns) of all rules' matches.
 
     ``rules`` are (number, compiled pattern, series, least entropy, needles). No further

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sluice.functions.batches import bound_batches
-from sluice.functions.matching import OutOfTime, matches, time_limit
+from sluice.functions.matching import OutOfTime, matches, old_value_of, time_limit, value_of
 from sluice.functions.text import unescape_text
 from sluice.operators import strings
 from sluice.operators.rules import CATALOGUE, FACTORS, Rule
@@ -40,12 +40,13 @@ _FOUND = T.StructType([T.StructField(name, kind) for kind, names in (
 
 
 def attempts(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bool = True, carry: tuple[str, ...] = (),
-             most: int | None = None, timeout: float | None = TIMEOUT) -> DataFrame:
+             most: int | None = None, timeout: float | None = TIMEOUT, oldest: bool = False) -> DataFrame:
     """Hits of all rules in (file, text), and one row with ``failure`` for each file that could not be scanned. [D1, D2, D5-D8, D13, D18, D19]
 
     A failure (``timeout``, or the error's name) stands in place of all hits of its file.
     ``ord``, the place of a hit in its file by rule and offset, stands for list order
-    wherever that decides. A null text has no hits. Without a shuffle or state, so it
+    wherever that decides. A null text has no hits. ``oldest`` takes values the way that
+    the first scanner did. [D4] Without a shuffle or state, so it
     also runs on a stream.
     """
     bound_batches(assets.sparkSession)
@@ -66,7 +67,7 @@ def attempts(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bo
                     if plain is not text:
                         plain = plain.encode("utf-8", "replace").decode()
                     return [(*head[k], value, match, start, end, bits, line, line_end, col, col_end, (k << 40) + start, None)
-                            for k, value, match, start, end, bits, line, line_end, col, col_end in matches(plain, ready, most)]
+                            for k, value, match, start, end, bits, line, line_end, col, col_end in matches(plain, ready, most, old_value_of if oldest else value_of)]
             except OutOfTime:
                 return [(*fail, "timeout")]
             except Exception as error:  # whatever one file raises, the others go on
@@ -90,9 +91,9 @@ def attempts(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bo
 
 
 def scan(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bool = True, carry: tuple[str, ...] = (),
-         most: int | None = None, timeout: float | None = TIMEOUT) -> DataFrame:
+         most: int | None = None, timeout: float | None = TIMEOUT, oldest: bool = False) -> DataFrame:
     """The hits among ``attempts``."""
-    return attempts(assets, rules, unescaped, carry, most, timeout).where("failure IS NULL").drop("failure")
+    return attempts(assets, rules, unescaped, carry, most, timeout, oldest).where("failure IS NULL").drop("failure")
 
 
 def failures(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, unescaped: bool = True, timeout: float | None = TIMEOUT) -> DataFrame:
@@ -190,7 +191,16 @@ def live(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, factors: dict[str
     The hits are written once to the shared folder, so that the joins over them do not
     scan the texts again. The veto reads only structured files that have hits left.
     """
-    hits = stage(scan(assets, rules, most=HIT_CAP), "hits")
+    return reduced(assets, stage(scan(assets, rules, most=HIT_CAP), "hits"), factors)
+
+
+def oldest(assets: DataFrame, rules: Iterable[Rule] = CATALOGUE, factors: dict[str, tuple[str, ...]] = FACTORS) -> DataFrame:
+    """The first scanner's composition: its values, then the same reductions. [D4]"""
+    return reduced(assets, stage(scan(assets, rules, most=HIT_CAP, timeout=None, oldest=True), "hits"), factors)
+
+
+def reduced(assets: DataFrame, hits: DataFrame, factors: dict[str, tuple[str, ...]] = FACTORS) -> DataFrame:
+    """What factors, containment, string veto and the certification drop leave of the staged ``hits``. [D14-D17]"""
     left = stage(drop_contained(complete_factors(hits, factors)), "reduced")
     structured = assets.select("file", "text").where(F.lower(F.element_at(F.split("file", r"\.", -1), -1)).isin(list(strings.EXTRACTORS)))
     read = strings.extracted(structured.join(left.select("file").distinct(), "file", "left_semi"))

@@ -90,6 +90,7 @@ def sql() -> dict[str, str]:
         "funnel": f"""{h}, {_REDUCED}, e AS (SELECT * FROM reduced WHERE {_MACHINE_ENTROPY})
             SELECT 'raw' AS stage, count(*) AS n_hits FROM hits UNION ALL SELECT 'contained', count(*) FROM reduced UNION ALL SELECT 'entropy', count(*) FROM e
             UNION ALL SELECT 'patterns', count(*) FROM e WHERE is_mechanical = 'human' OR NOT ({_patterns()})""",
+        "scan_log": f"{h} SELECT d.doc_id::VARCHAR AS file, count(x.file) AS n_hits FROM documents d LEFT JOIN hits x ON x.file = d.doc_id::VARCHAR GROUP BY d.doc_id",
         "rule_rollup": f"{h} SELECT series, rule_name, count(*) AS n FROM hits GROUP BY ROLLUP (series, rule_name)",
         "rule_pivot": f"{h}, {_PATHS} SELECT rule_name, count(*) FILTER (ext = 'js') AS js, count(*) FILTER (ext = 'html') AS html, count(*) FILTER (ext = 'json') AS json, count(*) FILTER (ext = 'css') AS css FROM paths GROUP BY 1",
         "file_types": f"{h}, {_PATHS} SELECT ext, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM paths), 4) AS percent FROM paths GROUP BY ext ORDER BY n DESC, ext LIMIT 30",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators import analysis, bindings, candidate, classify_v1, classify_v2, collect, rules, scan, strings, vector
+from sluice.operators import analysis, batch, bindings, candidate, classify_v1, classify_v2, collect, rules, scan, strings, vector
 from sluice.operators.cascade import PENDING
 from sluice.plans import oracles
 from sluice.sources import readers, sinks
@@ -165,9 +165,30 @@ def jwt_claims(spark, d):
 def labelled_v1(spark, d):
     """Pending hits by their nearest neighbour among all hits that the rules settle."""
     hits = _hits(spark, d)
+    return classify_v1.label(hits, _settled(hits), NOW).groupBy("rule_name", "risk_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def batch_labelled(spark, d):
+    """The batch composition over all documents, its pending hits by the hits that the rules settle."""
+    docs = readers.documents(spark, d)
+    words = candidate.ranked_words(docs, "text", max(1, -(-docs.count() // WORD_SHARE)))
+    return batch.run(docs, words, _settled(_hits(spark, d)), now=NOW).groupBy("rule_name", "risk_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scan_log(spark, d):
+    """Every file with its number of hits."""
+    return batch.progress(readers.documents(spark, d), _hits(spark, d)).select("file", F.col("n_hits").cast("bigint").alias("n_hits"))
+
+
+def oldest_scan(spark, d):
+    return _shape(scan.oldest(readers.documents(spark, d))).select("file", "rule_name", "index_start", "index_end")
+
+
+def _settled(hits):
+    """The hits that the rules settle, as a knowledge base."""
     settled = classify_v1.classify(hits, NOW).where(F.col("risk_label") != PENDING).select(classify_v1.vector_text().alias("t"), "risk_label").distinct()
     kb = vector.embed(settled, "t").select(F.concat_ws(":", "risk_label", F.md5("t")).alias("id"), "vector", F.lower("risk_label").alias("risk_level"), F.lit(None).cast("string").alias("service"))
-    return classify_v1.label(hits, stage(kb, "kb"), NOW).groupBy("rule_name", "risk_label").agg(F.count(F.lit(1)).alias("n"))
+    return stage(kb, "kb")
 
 
 def _kb(spark, d):
@@ -367,7 +388,7 @@ PROVIDERS = {"Email Address": "Mailchimp", "IPv4 Address": "AWS", "Host Name": "
 
 QUERIES = {f.__name__: f for f in (
     rule_scan, span_positions, entropy_gate, hit_dedup, span_containment, multi_factor, hit_cap, prefix_census, chunked_entropy, sequence_patterns, version_strings,
-    placeholder_filter, dictionary_words, similar_merge, password_filter, unescape, rich_scan, funnel, resume_scan, live_classified, live_findings, findings_summary, classified_v1, labelled_v1,
+    placeholder_filter, dictionary_words, similar_merge, password_filter, unescape, rich_scan, funnel, resume_scan, live_classified, live_findings, findings_summary, classified_v1, labelled_v1, batch_labelled, scan_log, oldest_scan,
     classified_v2, policy_join, uri_triage, jwt_claims, kb_nearest, kb_threshold, kb_classified, embed_context, url_normalize, url_identity, url_extension, html_links,
     link_edges, crawl_frontier, probe_plan, soft404, crawl_stats, payload_selection, ssr_findings, page_references, json_urls, keyed_urls, string_veto, js_bindings,
     context_signals, value_class, file_types, rule_pivot, topk_rules_per_group, framework_rules, rule_rollup, leak_context, domain_top, key_sides,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +30,19 @@ def files(spark: SparkSession, path: str, size_limit: int | None = SIZE_LIMIT, s
 
 
 def listed(spark: SparkSession, list_path: str, root: str) -> DataFrame:
-    """The files of ``root`` that a JSON array of paths names. [S3]"""
-    names = spark.read.text(list_path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("file"))
+    """The files of ``root`` that a JSON array of paths names; anything but an array of texts is an error. [S3]"""
+    read = spark.read.text(list_path, wholetext=True)
+    fit = F.rlike("value", F.lit(r"^\s*\[")) & F.coalesce(~F.exists(F.from_json("value", "array<string>"), lambda x: x.isNull()), F.lit(False))
+    names = read.select(F.explode(F.when(fit, F.from_json("value", "array<string>")).otherwise(F.raise_error(F.lit("not a JSON array of paths")))).alias("file"))
     return files(spark, root, None, []).join(names.distinct(), "file", "left_semi")
 
 
 def gathered(*assets: DataFrame) -> DataFrame:
-    """All assets, one row a file. [S4]"""
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, assets).dropDuplicates(["file"])
+    """All assets, one row a file, of several that of the input named first; ``source_ord`` is the input's place. [S4]"""
+    united = reduce(DataFrame.unionByName, [a.withColumn("source_ord", F.lit(k)) for k, a in enumerate(assets)])
+    rest = [c for c in united.columns if c not in ("file", "source_ord")]
+    first = united.groupBy("file").agg(F.min_by(F.struct("source_ord", *rest), "source_ord").alias("r"))
+    return first.select("file", *[F.col(f"r.{c}").alias(c) for c in (*rest, "source_ord")])
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +54,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return entries.drop("format")
 
 
+def manifest_assets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text, url) of the bodies that a scan manifest lists, and of no other file beside it; a missing body is an error. [S5]"""
+    root = path.rstrip("/").rpartition("/")[0]
+    found = files(spark, root, None, []).withColumn("__name", F.element_at(F.split("file", F.lit(re.escape(root.partition(":")[2] or root) + "/")), -1))
+    joined = manifest(spark, path).select("path", "url").join(found, F.col("path") == F.col("__name"), "left")
+    present = F.when(F.col("file").isNull(), F.raise_error(F.concat(F.lit("a body is missing: "), "path"))).otherwise(F.col("file"))
+    return joined.select(present.alias("file"), "text", "url")
+
+
 def knowledge_base(spark: SparkSession, path: str) -> DataFrame:
     """(id, vector, risk_level, service) of a JSONL knowledge base; rows without a vector are dropped. [S9]"""
     schema = ("id string, vector array<float>, service string, payload struct<service:string,original_full_json:struct<label:string,"

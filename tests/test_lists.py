@@ -162,3 +162,45 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         staging.shared_dir(Elsewhere)
+
+
+def test_sources_check_what_they_are_given(spark, tmp_path):
+    for name, text in (("a.txt", "one"), ("b.txt", "two"), ("c.txt", "three")):
+        (tmp_path / name).write_text(text)
+    uri = tmp_path.as_uri().replace("file:///", "file:/")
+    (tmp_path / "list.json").write_text(json.dumps([f"{uri}/a.txt", f"{uri}/b.txt"]))
+    assert sorted(r.text for r in readers.listed(spark, str(tmp_path / "list.json"), str(tmp_path)).collect()) == ["one", "two"]
+    for bad in ("{}", "[1, null]", "nothing"):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception, match="array of paths"):
+            readers.listed(spark, str(tmp_path / "bad.json"), str(tmp_path)).collect()
+    entry = lambda p: {"path": p, "url": f"http://h/{p}", "method": "GET", "content_type": "text/plain", "bytes": 3}
+    (tmp_path / "m.json").write_text(json.dumps({"format": readers.MANIFEST_FORMAT, "files": [entry("a.txt"), entry("b.txt")]}))
+    got = readers.manifest_assets(spark, str(tmp_path / "m.json")).collect()
+    assert sorted((r.text, r.url) for r in got) == [("one", "http://h/a.txt"), ("two", "http://h/b.txt")]
+    (tmp_path / "m.json").write_text(json.dumps({"format": readers.MANIFEST_FORMAT, "files": [entry("lost.txt")]}))
+    with pytest.raises(Exception, match="missing"):
+        readers.manifest_assets(spark, str(tmp_path / "m.json")).collect()
+    first, second = spark.createDataFrame([("x", "1")], "file string, text string"), spark.createDataFrame([("x", "2"), ("y", "3")], "file string, text string")
+    assert sorted((r.file, r.text, r.source_ord) for r in readers.gathered(first, second).collect()) == [("x", "1", 0), ("y", "3", 1)]
+
+
+def test_batch_composition(spark):
+    """Against its steps spelled out by hand on a few files."""
+    from sluice.operators import batch
+
+    key = "Zx81kLq09TbVw55eRyUi7Qp3"
+    files = [("a", f"token = '{key}'"), ("b", "token = 'aaaabbbbccccddddeeeeffff'"), ("c", f"input_token = '{key}'"), ("d", "token = 'monkey-house-secret-words'"), ("e", "no hit")]
+    kb = spark.createDataFrame([], "id string, vector array<float>, risk_level string, service string")
+    made = batch.run(spark.createDataFrame(files, "file string, text string"), ["monkey", "house", "secret", "words"], kb)
+    # b falls by its patterns, d by its words; c's match starts at the key word, so its prefix is not seen
+    assert sorted((r.file, r.value, r.risk_label) for r in made.collect()) == [("a", key, "Potential"), ("c", key, "Potential")]
+
+
+def test_oldest_values(spark):
+    from sluice.operators import scan
+    from sluice.operators.rules import Rule
+
+    rules = [Rule("two", "(k)=(v+)", "generic"), Rule("one", "x(y+)z", "s"), Rule("pem", "p+", "private")]
+    df = spark.createDataFrame([("f", "k=vvv xyyz " + "p" * 99 + " " + "p" * 100)], "file string, text string")
+    assert [r.value for r in scan.scan(df, rules, oldest=True).orderBy("ord").collect()] == ["k=vvv", "yy", "p" * 100]
