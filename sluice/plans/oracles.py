@@ -16,10 +16,10 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _rule(k: int, rule: Rule, source: str = "documents", file: str = "doc_id", text: str = "text") -> str:
-    group = 2 if rule.series == "generic" and rule.groups >= 2 else min(1, rule.groups)
+def _rule(k: int, rule: Rule, source: str = "documents", file: str = "doc_id", text: str = "text", oldest: bool = False) -> str:
+    group = 0 if oldest and rule.groups != 1 else 2 if rule.series == "generic" and rule.groups >= 2 else min(1, rule.groups)
     value = f"regexp_extract(m[i], {_q(PLAIN.get(rule.rule_name, rule.regex))}, {group})" if group else "m[i]"
-    if rule.series == "uri":
+    if rule.series == "uri" and not oldest:
         value = "nullif(regexp_extract(m[i], '://[^/:@]*:([^@]*)@', 1), '')"
     regex = _q(PLAIN.get(rule.rule_name, rule.regex))
     gate = f" AND bits >= {rule.entropy}" if rule.entropy is not None else ""
@@ -91,6 +91,18 @@ def sql() -> dict[str, str]:
             SELECT 'raw' AS stage, count(*) AS n_hits FROM hits UNION ALL SELECT 'contained', count(*) FROM reduced UNION ALL SELECT 'entropy', count(*) FROM e
             UNION ALL SELECT 'patterns', count(*) FROM e WHERE is_mechanical = 'human' OR NOT ({_patterns()})""",
         "scan_log": f"{h} SELECT d.doc_id::VARCHAR AS file, count(x.file) AS n_hits FROM documents d LEFT JOIN hits x ON x.file = d.doc_id::VARCHAR GROUP BY d.doc_id",
+        "oldest_scan": "WITH " + hits(oldest=True) + f", {_REDUCED} SELECT file, rule_name, index_start::BIGINT AS index_start, index_end::BIGINT AS index_end FROM reduced",
+        "js_bindings": f"""WITH v AS (SELECT event_id, to_base64(encode(md5(event_id::VARCHAR))) || 'Q7' AS val FROM events), e AS (SELECT *, {_ENTROPY.format(v='val')} AS bits FROM v)
+            SELECT event_id::VARCHAR AS file, 'apiKey' AS prop_key, 'a' AS var_name, val, round(bits, 2) AS entropy FROM e
+            WHERE bits >= 4.5 AND length(val) BETWEEN 20 AND 150 AND NOT regexp_matches(val, '^[A-Za-z]{{20,}}$') AND NOT regexp_matches(val, '__[A-Za-z0-9]{{4,}}$')""",
+        "context_signals": f"""WITH v AS (SELECT event_id, to_base64(encode(md5(event_id::VARCHAR))) || 'Q7' AS val FROM events), e AS (SELECT *, {_ENTROPY.format(v='val')} AS bits FROM v)
+            SELECT event_id::VARCHAR AS file, 'k' AS var, substr(val, 1, 80) AS val, round(bits, 2) AS entropy, CASE event_id % 3 WHEN 0 THEN 'HTTP_AUTH' ELSE 'CRYPTO' END AS signal
+            FROM e WHERE bits >= 4.5 AND event_id % 3 <> 1""",
+        "placeholder_filter": f"""{h}, k AS (SELECT *, lower(regexp_replace(substr(match, 1, strpos(match, value) - 1), '[^a-zA-Z]*$', '')) AS key,
+              len(list_filter([{', '.join(_q(w) for w in candidate.VALUE_PLACEHOLDERS)}], lambda w: contains(lower(value), w))) + len(list_filter([{', '.join(_q(w) for w in candidate.MATCH_PLACEHOLDERS)}], lambda w: contains(lower(match), w))) AS n FROM hits)
+            SELECT {_KEYS} FROM k WHERE NOT (is_mechanical = 'human' AND n >= 2) AND NOT (need_keyvalue AND match <> value AND
+              (list_has_any(string_split_regex(key, '[._-]'), [{', '.join(_q(w.lower()) for w in (*candidate.KEY_LEFT, *candidate.KEY_RIGHT))}]) OR {_contains('key', candidate.WHOLE_KEYS)} OR {_contains('lower(value)', candidate.MACHINE_VALUES)}
+               OR {' OR '.join(f"ends_with(key, {_q(e)})" for e in candidate.FILE_ENDINGS)}))""",
         "rule_rollup": f"{h} SELECT series, rule_name, count(*) AS n FROM hits GROUP BY ROLLUP (series, rule_name)",
         "rule_pivot": f"{h}, {_PATHS} SELECT rule_name, count(*) FILTER (ext = 'js') AS js, count(*) FILTER (ext = 'html') AS html, count(*) FILTER (ext = 'json') AS json, count(*) FILTER (ext = 'css') AS css FROM paths GROUP BY 1",
         "file_types": f"{h}, {_PATHS} SELECT ext, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM paths), 4) AS percent FROM paths GROUP BY ext ORDER BY n DESC, ext LIMIT 30",

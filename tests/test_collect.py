@@ -134,3 +134,41 @@ def test_stream(spark, tmp_path):
         stream.run_available(stream.stream_hits(stream.stream_assets(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "check"))
     rows = spark.read.parquet(str(tmp_path / "out")).where("rule_name = 'Email Address'").collect()
     assert [r.value for r in rows] == ["a@b.example.com"]
+
+
+def test_edges_and_frontier_against_plain_python(spark):
+    """The registered queries against regular expressions, urljoin and a breadth-first walk."""
+    import html as entities
+    import re
+    from urllib.parse import urljoin, urlparse
+
+    from sluice.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+
+    def usable(url):
+        segments = [x.lower() for x in urlparse(url).path.split("/") if x]
+        return len(urlparse(url).path) <= 400 and len(segments) <= 12 and all(segments.count(x) <= (1 if x in collect.PACKAGE_DIRS else 2) for x in segments)
+
+    edges = set()
+    for p in pages:
+        for href in re.findall(r"""<a\s[^>]*href=["']((?![#?])[^"']+)["']""", p.html, re.I):
+            bare = re.sub(r"[?#].*$", "", entities.unescape(href).strip())
+            if not bare or re.match("mailto:|javascript:|data:", bare):
+                continue
+            target = urljoin(re.sub(r"[?#].*$", "", p.url), bare)
+            if urlparse(target).netloc == urlparse(p.url).netloc and usable(target):
+                edges.add((p.url, target))
+    assert {(r.src, r.dst) for r in queries.link_edges(spark, sf).collect()} == edges
+    seeds = {}
+    for p in pages:
+        url, host = re.sub(r"[?#].*$", "", p.url), urlparse(p.url).netloc
+        seeds[host] = min(url, seeds.get(host, url))
+    depth = dict.fromkeys(seeds.values(), 0)
+    last = set(depth)
+    for d in (1, 2, 3):
+        giving = {u for u in last if d < 3 or any(urlparse(u).path.startswith(x) for x in collect.LISTINGS)}
+        last = {b for a, b in edges if re.sub(r"[?#].*$", "", a) in giving} - set(depth)
+        depth |= dict.fromkeys(last, d)
+    assert {r.url: r.depth for r in queries.crawl_frontier(spark, sf).collect()} == depth
