@@ -67,6 +67,7 @@ RIGHTS = [r"\badmin\b", r"\bwrite\b.*\bwrite\b", r"\bdelete\b", r"\bmanage\b", r
 #: Two patterns that look like slips of the pen; only in strict mode.
 STRICT_RIGHTS = [r"\broad\b", r"\b privileged\b"]
 CLAIMS = ["iss", "sub", "aud", "scope", "permissions", "role", "admin"]
+NON_SECRETS = [r"^\)\.concat\(", r"^\+?encodeURIComponent\(", r"^[A-Za-z_][A-Za-z0-9_.]*\([^)]*\)\n?\z"]
 SENSITIVE = ["pwd", "password", "secret", "private", "key", "token"]
 
 
@@ -105,7 +106,7 @@ def front_end(var: Column) -> Column:
 def non_secret() -> Column:
     """[R5]"""
     v = F.trim("value")
-    return (F.length(v) <= 2) | F.rlike(v, F.lit(r"(?i)^\)\.concat\(|^\+?encodeURIComponent\(|^[A-Za-z_][A-Za-z0-9_.]*\([^)]*\)\n?\z"))
+    return (F.length(v) <= 2) | F.rlike(v, F.lit(f"(?i){'|'.join(NON_SECRETS)}"))
 
 
 def jwt_decisions(now: int, strict: bool) -> list[Decision]:

@@ -144,6 +144,10 @@ def is_jwt() -> Column:
     return _c("_rule").isin("jwt", "jwt-base64")
 
 
+# Fixed values that results depend on: the patterns and words in the tests and decisions from here on, each stated where it
+# is used, as are the decisions' order and reasons.
+
+
 def code_fragment() -> Column:
     """[V14]"""
     return contains_any(F.concat_ws(" ", "_v", "_match"), CODE_PARTS)

@@ -142,7 +142,7 @@ def classified_v2(spark, d):
 
 
 def policy_join(spark, d):
-    """Hits by the policy of their rule: a join with the small rule table. [V25]"""
+    """Hits by the kind of their rule: a join with the small rule table."""
     policy = F.broadcast(rules.table(spark).select("rule_name", F.col("is_mechanical").alias("kind")))
     return _hits(spark, d).select("rule_name").join(policy, "rule_name").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
