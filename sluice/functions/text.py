@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.functions.matching import OutOfTime, time_limit
+
 
 def entropy(value: Column) -> Column:
     """Shannon entropy in bits a character; 0 for an empty value. [D8]"""
@@ -19,19 +22,28 @@ def entropy(value: Column) -> Column:
     return F.when(n > 0, bits).otherwise(F.lit(0.0))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """(start, end, match) of every match, left to right, offsets in code points from 0. [D5]
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("match", T.StringType())]))
+
+
+def spans(text: Column, pattern: str, seconds: float = 30.0) -> Column:
+    """(start, end, match) of every match, left to right, offsets in code points from 0; classes know ASCII only. [D5]
 
-    Built from the matches and the gaps between them, so it stays in the JVM.
+    A null text, or one that takes longer, gives none.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    return F.aggregate(lengths, empty, lambda s, x: F.struct(
-        (s["at"] + x["g"] + F.length(x["m"])).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("start"), (s["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("match")))).alias("out")),
-        lambda s: s["out"])
+    @F.pandas_udf(_SPAN)
+    def find(texts: pd.Series) -> pd.Series:
+        ready = re.compile(pattern, re.ASCII)
+
+        def one(value: str | None) -> list[dict]:
+            try:
+                with time_limit(seconds):
+                    return [{"start": m.start(), "end": m.end(), "match": m.group()} for m in ready.finditer(value or "")]
+            except OutOfTime:
+                return []
+
+        return texts.map(one)
+
+    return find(text)
 
 
 def snake_case(name: Column) -> Column:
