@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b); a component is named by its least id.
 
     Rows with a null end are no edges; repeated edges count once; an empty table gives
-    an empty one. Each round is written to the shared folder, so lineage stays short. Rounds end
+    an empty one. Rows are two numbers and meet by joins that AQE splits where an id has
+    very many neighbours. Each round is written to the shared folder, so lineage stays short. Rounds end
     when the edges, compared by count and hash, no longer change.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
