@@ -204,3 +204,40 @@ def test_oldest_values(spark):
     rules = [Rule("two", "(k)=(v+)", "generic"), Rule("one", "x(y+)z", "s"), Rule("pem", "p+", "private")]
     df = spark.createDataFrame([("f", "k=vvv xyyz " + "p" * 99 + " " + "p" * 100)], "file string, text string")
     assert [r.value for r in scan.scan(df, rules, oldest=True).orderBy("ord").collect()] == ["k=vvv", "yy", "p" * 100]
+
+
+def test_segmentation_is_cheapest():
+    """Against all splits of short words."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    words = ["a", "ab", "abc", "bc", "ca", "cab", "b"]
+    costs = {w: math.log((k + 1) * math.log(len(words) + 2)) for k, w in enumerate(words)}
+
+    def cost(parts):
+        return sum(costs.get(p, 1e3 if len(p) == 1 else math.inf) for p in parts)
+
+    for _ in range(200):
+        word = "".join(rng.choice("abcz") for _ in range(rng.randint(1, 8)))
+        best = math.inf
+        for mask in range(1 << (len(word) - 1)):
+            cuts = [0, *[i + 1 for i in range(len(word) - 1) if mask >> i & 1], len(word)]
+            best = min(best, cost([word[a:b] for a, b in zip(cuts, cuts[1:])]))
+        got = candidate.segment(word, costs, 3)
+        assert "".join(got) == word and abs(cost(got) - best) < 1e-9
+
+
+def test_embedding_text_against_plain_python(spark):
+    """Descriptor, preview and order of the parts."""
+    import re
+
+    rows = [("ghp_aB1-xyzQ", "generic-api-key", "generic", "tokenName"), ("0123456789abcdef" * 5, "Hex Digest", "digest", ""), ("sk_live_AbC9", "Stripe", "payment", "k")]
+    df = spark.createDataFrame([("f", r, s, v, "m", n) for v, r, s, n in rows], "file string, rule_name string, series string, value string, match string, variable_name string")
+    got = {r.value: r.embedding_text for r in vector.embedding_text(classify_v2.prepare(df)).collect()}
+    for value, rule, series, name in rows:
+        groups = list(dict.fromkeys("LowerAlpha" if re.match("[a-z]", c) else "UpperAlpha" if re.match("[A-Z]", c) else "Digit" if c.isdigit() else c for c in value))
+        prefix = next((p for p in vector.PREFIXES if value.startswith(p)), "N/A")
+        parts = [f"Features - Length: {len(value)}, Charset: {' + '.join(groups)}, prefix: {prefix}", f"value: {value[:64] + '...' if len(value) > 64 else value}", f"Series: {series}", f"Service: {rule}"]
+        at = [got[value].index(p) for p in parts]
+        assert at == sorted(at) and got[value].startswith("Variable Name: ")
