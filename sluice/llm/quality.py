@@ -33,8 +33,9 @@ _WHITE_RUN = r"[ \t\n\x0B\f\r]+"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Soft rules: symbols a word, share of duplicated lines among words' lines, mean word length.
-MAX_SYMBOLS_A_WORD = 0.1
+#: Soft rules: symbols a word, duplicated lines a word, mean word length. A table whose cells are words has a bar between
+#: any two of them, so that half of its words are symbols; only more than that is noise.
+MAX_SYMBOLS_A_WORD = 0.5
 MAX_DUP_LINES_A_WORD = 0.1
 WORD_LENGTHS = (2.0, 12.0)
 #: Probability that a rejected host's rate is above the mean, and the normal deviate that stands for it.

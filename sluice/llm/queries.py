@@ -84,7 +84,7 @@ m AS (
   FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN dup_lines l USING (doc_id)),
 f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-         coalesce(n_symbols > 0.1 * n_words OR n_dup_lines > 0.1 * n_words
+         coalesce(n_symbols > 0.5 * n_words OR n_dup_lines > 0.1 * n_words
            OR (n_words > 0 AND (word_chars < 2.0 * n_words OR word_chars > 12.0 * n_words)), false) AS soft
   FROM m),
 h AS (SELECT source, count(*) AS n, sum((base_failed OR soft)::INT)::DOUBLE AS bad FROM f WHERE source IS NOT NULL GROUP BY source),

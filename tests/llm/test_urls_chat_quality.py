@@ -132,3 +132,10 @@ def test_host_verdicts_on_the_given_tables(spark):
 
 def test_quality_empty(spark):
     assert quality.apply_rules(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_tables_are_no_noise(spark):
+    """A table of one-word cells passes the soft rules; words with marks hung on them do not."""
+    rows = [(1, " | ".join(f"word{k}" for k in range(40))), (2, " ".join(f"word{k}{m * 3}" for k, m in enumerate("#$%&*" * 8)))]
+    got = {r.k: r.soft for r in quality.measure(spark.createDataFrame(rows, "k int, text string")).withColumn("soft", quality.soft_failed()).collect()}
+    assert got == {1: False, 2: True}
