@@ -95,6 +95,9 @@ SHAPES = {
 }
 _TAG = {k: f"[{k.upper()}]" for k in KINDS}
 VOTES, LABELERS, BITS = 3, 3, 3
+#: Longer matches are no such value: their form and gazetteer votes are against, their shape bits 0, and no
+#: labeler's pattern, which may recurse, is tried on them.
+LONGEST = 320
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -148,12 +151,13 @@ def _described(kind: str, text: Column, spans: Column, strict: bool) -> Column:
     def one(x: Column) -> Column:
         value = x["value"]
         before = F.lower(F.substr(text, F.greatest(x["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(CONTEXT)).cast("int")))
+        long = F.length(value) > LONGEST
         form = _vote(value, FORM[kind])
         if kind == "card":
             form = F.when(~luhn(_digits(value)), 2).otherwise(form)
         bare = F.regexp_replace(value, r"[\x20-]", "") if kind == "card" else value
-        votes = [form, _vote(bare, GAZETTEER[kind]), _vote(before, WORDS[kind])]
-        bits = [F.rlike(value, F.lit(p)).cast("int") for p in SHAPES[kind]]
+        votes = [F.when(long, 2).otherwise(form), F.when(long, 2).otherwise(_vote(bare, GAZETTEER[kind])), _vote(before, WORDS[kind])]
+        bits = [F.when(long, 0).otherwise(F.rlike(value, F.lit(p)).cast("int")) for p in SHAPES[kind]]
         code = reduce(lambda c, b: c * 2 + b, bits, reduce(lambda c, v: c * VOTES + v, votes, F.lit(0)))
         base = _strict(kind, value) if strict else F.lit(False)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), code.cast("int").alias("code"))
