@@ -61,7 +61,7 @@ def value_class(v: Column) -> Column:
     bare = F.regexp_replace(v, "[^a-zA-Z0-9]", "")
     table = (F.length(bare) >= 30) & (F.size(F.array_distinct(F.split(bare, ""))) / F.length(bare) > 0.85)
     return (F.when(table, "charset_table").when(F.rlike(v, F.lit(r"^(/|\.\.?/|https?://|data:)")), "path_or_url").when(F.rlike(v, F.lit(r"[<>{}\s()]")), "code_or_markup")
-            .when(F.rlike(v, F.lit(r"^[a-zA-Z][a-zA-Z0-9]*(-[a-zA-Z0-9]+){2,}(\.[a-z]+)?$")), "asset_id")
+            .when((F.length(v) <= 4_096) & F.rlike(v, F.lit(r"^[a-zA-Z][a-zA-Z0-9]*(-[a-zA-Z0-9]+){2,}(\.[a-z]+)?$")), "asset_id")
             .when(F.rlike(v, F.lit(r"^(sk_live_|sk_test_|pk_live_|pk_test_|AKIA[0-9A-Z]|AIzaSy|xox[abprs]-|SG\.[A-Za-z0-9]|ghp_|ya29\.|eyJ)")), "known_secret_format")
             .when(F.rlike(v, F.lit("^[0-9a-f]{32,64}$")), "hex_hash").when(F.rlike(v, F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")), "uuid")
             .when(F.rlike(v, F.lit(r"^[0-9]+\.[0-9]+\.[0-9]+")), "version").otherwise("high_entropy_unknown"))

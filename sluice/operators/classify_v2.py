@@ -6,6 +6,7 @@ whole_secret_value) count as empty. ``now`` is a parameter, in seconds.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -78,16 +79,21 @@ CLAIMS = ["sub", "user_id", "uid", "account_id", "email", "preferred_username",
 _HEX8 = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
+#: Longer values match no pattern with a repeated group: Java recurses once a repetition, and an overflow ends the executor.
+LONGEST = 4_096
+
+
 def _has(column: Column, pattern: str) -> Column:
-    return F.rlike(column, F.lit(pattern))
+    found = F.rlike(column, F.lit(pattern))
+    return F.when(F.length(column) > LONGEST, F.lit(False)).otherwise(found) if re.search(r"\)[*+{]", pattern) else found
 
 
 def _full(column: Column, pattern: str) -> Column:
-    return F.rlike(column, F.lit(rf"\A(?:{pattern})\z"))
+    return _has(column, rf"\A(?:{pattern})\z")
 
 
 def _full_i(column: Column, pattern: str) -> Column:
-    return F.rlike(column, F.lit(rf"(?i)\A(?:{pattern})\z"))
+    return _has(column, rf"(?i)\A(?:{pattern})\z")
 
 
 def _starts(column: Column, prefixes: list[str]) -> Column:

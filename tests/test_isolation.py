@@ -122,3 +122,17 @@ def test_merging_in_a_huge_file(spark):
             elif similar(value, v2):
                 gone.add(ord_ if "generic" in rule else o2)
     assert {r.ord for r in candidate.merge_similar(df).collect()} == {h[5] for h in hits} - gone
+
+
+def test_classifiers_survive_long_values(spark):
+    """Hits of ten thousand dotted parts and the like pass both classifiers."""
+    from sluice.operators import bindings, classify_v1, classify_v2
+    from pyspark.sql import functions as F
+
+    values = ["a@b" + ".c" * 10_000, "a.b" * 10_000, "+" + "a.b" * 10_000 + "+", "a-b" * 10_000, "A_" * 20_000, "a" * 50_000, "${" * 10_000, "eyJ" + "a." * 10_000]
+    rows = [("f", rule, series, v, f'key = "{v}"', "machine", True) for v in values for rule, series in (("generic-api-key", "generic"), ("Uri", "uri"), ("jwt", "jwt"), ("Email Address", "contact"))]
+    hits = spark.createDataFrame(rows, "file string, rule_name string, series string, value string, match string, is_mechanical string, need_keyvalue boolean")
+    assert classify_v2.classify(hits).count() == len(rows) and classify_v1.classify(hits).count() == len(rows)
+    assert len(classify_v2.classify(hits).select("risk").collect()) == len(classify_v1.classify(hits).select("risk_label").collect()) == len(rows)
+    assert len(hits.select(bindings.value_class(F.col("value"))).collect()) == len(rows)
+    candidate.key_filter(candidate.drop_versions(candidate.chunked_entropy(hits))).collect()
