@@ -299,6 +299,15 @@ def test_contamination_with_repeated_shingles(spark):
     assert {(r.doc_id, r.item_id): (r.n_common, r.start_word, r.similarity) for r in decon.find(d, b).collect()} == want
 
 
+def test_contamination_of_short_texts_at_the_threshold(spark):
+    """Sets of three of four shingles, and of six of eight, whose fingerprints may differ in more bits than RADIUS."""
+    items = [(k, " ".join(f"s{k}_{j}" for j in range(8 if k % 4 else 12))) for k in range(400)]
+    docs = [(k, text.rpartition(" ")[0] if k % 4 else text.rsplit(" ", 2)[0]) for k, text in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_common, r.start_word, r.similarity) for r in decon.find(d, b).collect()}
+    assert got == {(k, k): (3 if k % 4 else 6, 0, 0.75) for k in range(400)}
+
+
 def test_hamming_blocks_cover_the_radius(spark):
     rng = random.Random(10)
     rows = []
