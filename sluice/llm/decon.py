@@ -17,7 +17,7 @@ weights over the sum of the greater ones.
    in 100,000; of unrelated items it finds one in six. Those that differ in more than
    RADIUS bits, over five deviations beyond 0.75, go at once, and so do unrelated ones.
 4. Fingerprints of few shingles spread further: of windows of three and items of four,
-   some 4 % are lost. What fingerprints leave out is found without loss: a window that
+   some 5 % are lost. What fingerprints leave out is found without loss: a window that
    needs o of an item's m shingles holds one of its m - o + 1 rarest.
 5. Candidates are kept if the exact similarity of their shingles is high enough.
 
