@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, with a bounded cache over space-delimited pieces.
+"""Token ids by the tokenizers library, with a bounded table of pieces that are encoded once.
 
 Defined cases: null text counts as empty; special tokens' strings in a text are ordinary
 text; a text of any length is encoded whole; rows are encoded one by one, repeated or not;
@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sluice.llm.arrow import with_columns
-from sluice.llm.segments import SegmentCache
+from sluice.llm.pieces import PieceTable
 
-#: Pieces encoded as one text, and pieces remembered by a worker.
-JOINED, CACHE_BOUND = 2048, 350_000
+#: Pieces encoded as one text.
+JOINED = 2048
 
-_known: dict[int, SegmentCache] = {}
+_known: dict[int, PieceTable] = {}
 
 
-def _cache(definition: str, kind: str = "<u4") -> SegmentCache:
+def _cache(definition: str, kind: str = "<u4") -> PieceTable:
     key = hash((definition, kind))
     if key not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,33 +31,45 @@ def _cache(definition: str, kind: str = "<u4") -> SegmentCache:
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.encode_special_tokens = True
 
-        width = np.dtype(kind).itemsize
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             sizes[i] = len(token)  # a byte-level token has a character for each byte
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            # pieces that start at a break of their own are encoded as one text and told apart by their sizes
-            joined = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not (p[1].isspace() or p[-1].isspace())]
-            alone = [k for k in range(len(pieces))] if len(joined) < 2 else sorted(set(range(len(pieces))).difference(joined))
-            out: list[bytes] = [b""] * len(pieces)
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            # pieces that begin and end at breaks of their own are encoded as one text and told apart by their sizes;
+            # those without a space before them have a line break between them
+            led, bare, alone = [], [], []
+            for k, p in enumerate(pieces):
+                if p[-1].isspace() or p[:2].isspace():
+                    alone.append(k)
+                elif p[0] == " ":
+                    led.append(k)
+                else:
+                    (alone if p[0].isspace() else bare).append(k)
+            starts, counts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+            flat, held = [np.zeros(0, np.int64)], 0
+            for group, between in ((led, ""), (bare, "\n")):
+                for i in range(0, len(group), JOINED):
+                    some = group[i:i + JOINED]
+                    ids = np.array(tokenizer.encode_batch_fast([between.join([pieces[k] for k in some])], add_special_tokens=False)[0].ids)
+                    lengths = np.array([len(pieces[k].encode()) for k in some])
+                    ends = np.cumsum(lengths + len(between)) - len(between)
+                    before = np.cumsum(sizes[ids]) - sizes[ids]  # bytes before each id
+                    first = np.searchsorted(before, ends - lengths)
+                    starts[some], counts[some] = held + first, np.searchsorted(before, ends) - first
+                    flat.append(ids)
+                    held += len(ids)
             for i in range(0, len(alone), JOINED):
                 some = alone[i:i + JOINED]
                 for k, m in zip(some, tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
-                    out[k] = np.array(m.ids, kind).tobytes()
-            if len(joined) >= 2:
-                for i in range(0, len(joined), JOINED):
-                    some = joined[i:i + JOINED]
-                    ids = np.array(tokenizer.encode_batch_fast(["".join([pieces[k] for k in some])], add_special_tokens=False)[0].ids, kind)
-                    ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(pieces[k].encode()) for k in some])) + 1
-                    raw = ids.tobytes()
-                    for k, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
-                        out[k] = raw[width * a:width * b]
-            return out
+                    starts[k], counts[k] = held, len(m.ids)
+                    flat.append(np.array(m.ids, np.int64))
+                    held += len(m.ids)
+            return np.concatenate(flat), starts, counts
 
         _known.clear()
-        _known[key] = SegmentCache(encode, CACHE_BOUND, parts=True)
+        _known[key] = PieceTable(encode, kind)
     return _known[key]
 
 
