@@ -50,13 +50,13 @@ def breaks(raw: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """Ids for texts. ``encode_pieces`` gives for strings an array of ids, and each string's start and count in it.
+    """Ids for texts. ``encode_pieces`` gives for strings an array of ids of ``kind``, and each string's start and count in it.
 
     When the table is full, the half not used for longest goes.
     """
 
     def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], kind: str = "<u4", bound: int = BOUND):
-        self._encode, self._kind, self._bound, self._now = encode_pieces, kind, bound, 0
+        self._encode, self._bound, self._now = encode_pieces, bound, 0
         self._pieces = pa.array([], pa.large_binary())
         self._ids, self._starts, self._counts, self._used = np.zeros(0, kind), *(np.zeros(0, np.int64) for _ in range(3))
 
@@ -64,7 +64,9 @@ class PieceTable:
         """The ids of pieces one after another, and the ends of each one's."""
         counts = self._counts[places]
         ends = np.cumsum(counts)
-        return self._ids[np.repeat(self._starts[places] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)], ends
+        at = np.repeat(self._starts[places] - ends + counts, counts)
+        at += np.arange(len(at))
+        return self._ids[at], ends
 
     def _forget(self) -> None:
         keep = np.flatnonzero(pc.binary_length(self._pieces).to_numpy(zero_copy_only=False) <= LONGEST)
@@ -85,7 +87,7 @@ class PieceTable:
             places[places < 0] = np.arange(len(self._pieces), len(self._pieces) + len(new))
             self._pieces = pa.concat_arrays([self._pieces, new])
             self._starts, self._counts = np.append(self._starts, starts + len(self._ids)), np.append(self._counts, counts)
-            self._ids, self._used = np.append(self._ids, ids.astype(self._kind)), np.append(self._used, np.zeros(len(new), np.int64))
+            self._ids, self._used = np.append(self._ids, ids), np.append(self._used, np.zeros(len(new), np.int64))
         self._now += 1
         self._used[places] = self._now
         return places[numbered.indices.to_numpy()]

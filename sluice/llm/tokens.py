@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sluice.llm.arrow import with_columns
-from sluice.llm.pieces import PieceTable
+from sluice.llm.pieces import LONGEST, PieceTable
 
-#: Pieces encoded as one text.
-JOINED = 2048
+#: Pieces, of LONGEST characters at most, encoded as one text, and others encoded in one call.
+JOINED, ALONE = 2048, 64
 
 _known: dict[int, PieceTable] = {}
 
@@ -41,14 +41,14 @@ def _cache(definition: str, kind: str = "<u4") -> PieceTable:
             # those without a space before them have a line break between them
             led, bare, alone = [], [], []
             for k, p in enumerate(pieces):
-                if p[-1].isspace() or p[:2].isspace():
+                if len(p) > LONGEST or p[-1].isspace() or p[:2].isspace():
                     alone.append(k)
                 elif p[0] == " ":
                     led.append(k)
                 else:
                     (alone if p[0].isspace() else bare).append(k)
             starts, counts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-            flat, held = [np.zeros(0, np.int64)], 0
+            flat, held = [np.zeros(0, kind)], 0
             for group, between in ((led, ""), (bare, "\n")):
                 for i in range(0, len(group), JOINED):
                     some = group[i:i + JOINED]
@@ -58,13 +58,13 @@ def _cache(definition: str, kind: str = "<u4") -> PieceTable:
                     before = np.cumsum(sizes[ids]) - sizes[ids]  # bytes before each id
                     first = np.searchsorted(before, ends - lengths)
                     starts[some], counts[some] = held + first, np.searchsorted(before, ends) - first
-                    flat.append(ids)
+                    flat.append(ids.astype(kind))
                     held += len(ids)
-            for i in range(0, len(alone), JOINED):
-                some = alone[i:i + JOINED]
+            for i in range(0, len(alone), ALONE):
+                some = alone[i:i + ALONE]
                 for k, m in zip(some, tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
                     starts[k], counts[k] = held, len(m.ids)
-                    flat.append(np.array(m.ids, np.int64))
+                    flat.append(np.array(m.ids, kind))
                     held += len(m.ids)
             return np.concatenate(flat), starts, counts
 
